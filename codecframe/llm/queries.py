@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecframe.llm import linededup, mixing
+from codecframe.llm import jaccard, langid, linededup, mixing
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from those of the other folds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.fold(F.col("doc_id"), 4) == 2)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, keep=["doc_id", "held_out"])
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by three-word shingles at 90 %."""
+    return jaccard.near_components(read(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of all documents: kept text as a digest."""
     out = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,7 +93,12 @@ FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.key = x.key
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_line_dedup, "op10_source_mix": op10_source_mix}
+    return {
+        "op4_language_id": op4_language_id,
+        "op7_line_dedup": op7_line_dedup,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_source_mix": op10_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
