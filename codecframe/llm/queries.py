@@ -5,13 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecframe.llm import jaccard, langid, linededup, mixing
+from codecframe.llm import decontam, fingerprint, jaccard, langid, lattice, linededup, mixing, resample, warc
+
+#: Where the public tokenizers are; a parameter of the operators.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, with the passages."""
+    return decontam.overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of all documents, learnt from those of the other folds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.fold(F.col("doc_id"), 7) == 2)
+    out = lattice.score(docs, ~F.col("held_out"), PIECES)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.compare_neighbours(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of all documents in the likeness of those labelled good and not toxic.
+
+    It is as large a share of the documents as these are of the labelled ones.
+    """
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    labels = labels.withColumn("wanted", (F.col("quality") == 1) & (F.col("toxic") == 0))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = docs.join(labels.select("doc_id", "wanted"), "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    ratio = resample.fit(marked)
+    good, n = labels.agg(F.sum(F.col("wanted").cast("int")), F.count("*")).first()
+    k = round(docs.count() * good / n) if n and good is not None else 0
+    return resample.resample(docs, ratio, k).select("doc_id", "log_weight", "gumbel_key")
+
+
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, written as chunks and read back."""
+    return warc.archive_and_read(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learnt from those of the other folds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.fold(F.col("doc_id"), 4) == 2)
@@ -36,6 +82,15 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -94,12 +149,18 @@ FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.key = x.key
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_lattice_score": op2_lattice_score,
+        "op3_fingerprint": op3_fingerprint,
+        "op5_resample": op5_resample,
+        "op6_warc_chunks": op6_warc_chunks,
         "op4_language_id": op4_language_id,
         "op7_line_dedup": op7_line_dedup,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_source_mix": op10_source_mix,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op10_source_mix": OP10_SQL}
+    return {"op6_warc_chunks": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_source_mix": OP10_SQL}
