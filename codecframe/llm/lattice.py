@@ -2,8 +2,8 @@
 
 Words are lattices over an existing piece vocabulary: each arc is a piece, weighted by its
 probability, and a log-space forward recursion sums all paths. Piece weights start from
-the vocabulary's own scores and take one step of expectation maximisation over the
-corpus's distinct words. A known word is one arc more, weighted by its discounted count in
+the vocabulary's own scores and take steps of expectation maximisation over the corpus's
+distinct words. A known word is one arc more, weighted by its discounted count in
 the corpus; what the discount frees goes to the pieces.
 """
 
@@ -27,11 +27,26 @@ FREQUENT = 1 << 17
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 1 << 19
 WORD_START = "▁"
+#: Ends a word, so that the probabilities of all words sum to one at most. No word holds it.
+WORD_END = "\n"
 NEVER = float("-inf")
 
 
+#: Pseudo-counts a piece, dealt by the old weights.
+PRIOR = 0.02
+
+
+def _opens(key: object) -> bool:
+    """Whether a piece starts a word; those that do and the others are two distributions."""
+    return isinstance(key, str) and key.startswith(WORD_START)
+
+
 class Pieces:
-    """Vocabulary pieces of a word lattice and their natural log probabilities."""
+    """Vocabulary pieces of a word lattice and their natural log probabilities.
+
+    Pieces that start a word share one distribution; pieces inside it, bytes and the
+    word's end another.
+    """
 
     def __init__(self, logp: dict[str, float], byte_logp: list[float]):
         self.logp, self.byte_logp = logp, byte_logp
@@ -44,11 +59,12 @@ class Pieces:
                 p = self.logp.get(word[i:j])
                 if p is not None:
                     yield i, j, p
-            yield i, i + 1, sum(self.byte_logp[b] for b in word[i].encode("utf-8", "replace"))
+            if i:
+                yield i, i + 1, sum(self.byte_logp[b] for b in word[i].encode("utf-8", "replace"))
 
     def marginal(self, word: str) -> float:
         """Natural log of the sum over all segmentations, by forward recursion."""
-        text = WORD_START + word
+        text = WORD_START + word + WORD_END
         alpha = [0.0] + [NEVER] * len(text)
         for i, j, p in self.arcs(text):
             alpha[j] = _add(alpha[j], alpha[i] + p)
@@ -56,7 +72,7 @@ class Pieces:
 
     def expected(self, word: str, weight: float, into: dict) -> None:
         """Add the expected uses of each piece (or byte) in the word, by forward and backward."""
-        text = WORD_START + word
+        text = WORD_START + word + WORD_END
         arcs = list(self.arcs(text))
         alpha, beta = [0.0] + [NEVER] * len(text), [NEVER] * len(text) + [0.0]
         for i, j, p in arcs:
@@ -73,10 +89,12 @@ class Pieces:
             else:
                 into[key] = into.get(key, 0.0) + n
 
-    def refit(self, counts: dict, stop: float) -> Pieces:
+    def refit(self, counts: dict) -> Pieces:
         """Pieces weighted by expected counts, smoothed by the old weights."""
-        total = sum(counts.values()) + len(self.logp) * 0.1
-        new = lambda key, old: math.log((counts.get(key, 0.0) + len(self.logp) * 0.1 * math.exp(old)) / total)
+        prior, total = len(self.logp) * PRIOR, {True: 0.0, False: 0.0}
+        for key, n in counts.items():
+            total[_opens(key)] += n
+        new = lambda key, old: math.log((counts.get(key, 0.0) + prior * math.exp(old)) / (total[_opens(key)] + prior))
         return Pieces({k: new(k, p) for k, p in self.logp.items()}, [new(b, p) for b, p in enumerate(self.byte_logp)])
 
 
@@ -94,9 +112,12 @@ def load_pieces(model_file: str) -> Pieces:
     raw = {m.id_to_piece(i): m.get_score(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
     ranks = bool(raw) and min(raw.values()) < -1000
     weight = {k: 1 / (3 - s) if ranks else math.exp(s) for k, s in raw.items()}
-    #: A hundredth of the mass is the bytes'.
-    total = sum(weight.values()) / 0.99
-    return Pieces({k: math.log(w / total) for k, w in weight.items()}, [math.log(0.01 / 256)] * 256)
+    weight = {k: w for k, w in weight.items() if WORD_START not in k[1:] and WORD_END not in k}
+    weight.setdefault(WORD_START, min(weight.values(), default=1.0))
+    #: Of what follows a word's start, a hundredth is the bytes' and a quarter the word's end.
+    total = {o: sum(w for k, w in weight.items() if _opens(k) == o) / (1.0 if o else 0.74) for o in (True, False)}
+    logp = {k: math.log(w / total[_opens(k)]) for k, w in weight.items()}
+    return Pieces(logp | {WORD_END: math.log(0.25)}, [math.log(0.01 / 256)] * 256)
 
 
 def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -178,7 +199,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], frequent: object, n: int,
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "lm_words", "lm_known", "lm_base", "lm_score", "lm_rest"])
 
 
-def score(docs: DataFrame, learn: F.Column, model_file: str, text: str = "text", steps: int = 1) -> DataFrame:
+def score(docs: DataFrame, learn: F.Column, model_file: str, text: str = "text", steps: int = 2) -> DataFrame:
     """Score every row's whole text by a model of the rows for which ``learn`` holds.
 
     Adds ``n_tokens`` (words and one end), ``n_known``, ``train_tokens``, ``base_score``
@@ -204,7 +225,7 @@ def score(docs: DataFrame, learn: F.Column, model_file: str, text: str = "text",
         counts = words.where("c > 0").select("word").mapInArrow(partial(_expected_batches, pieces=sc.broadcast(pieces)), "piece string, byte int, n double")
         got = {r["piece"] if r["piece"] is not None else r["byte"]: r["n"] for r in counts.groupBy("piece", "byte").agg(F.sum("n").alias("n")).collect()}  # vocabulary size
         if got:
-            pieces = pieces.refit(got, 0.0)
+            pieces = pieces.refit(got)
     marginals = words.mapInArrow(partial(_marginal_batches, pieces=sc.broadcast(pieces)), "h long, c long, sub double")
     n, v = total + ends, distinct + (ends > 0)
     log_end, log_word = math.log10((ends + 1) / (n + 2)), math.log10((total + 1) / (n + 2))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecframe.llm import decontam, fingerprint, jaccard, langid, lattice, linededup, mixing, resample, warc
+from codecframe.llm import chat, decontam, fingerprint, jaccard, langid, lattice, linededup, mixing, resample, warc
 
 #: Where the public tokenizers are; a parameter of the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -52,6 +52,15 @@ def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all conversations' turns, read from transcripts with and without markers."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("true_role"), "text")
+    rows = rows.withColumns({"held_out": langid.fold(F.col("conv_id"), 4) == 2, "text": chat.mark(F.col("conv_id"), F.col("turn"), F.col("true_role"), F.col("text"))})
+    model = chat.fit(rows.where(~F.col("held_out")), role="true_role")
+    out = chat.parse(rows.drop("true_role"), model)
+    return out.select("conv_id", "turn", "held_out", F.col("turns")[0]["role"].alias("role_pred"), F.size("turns").cast("long").alias("n_turns"), F.sha2(chat.render(F.col("turns")).cast("binary"), 256).alias("rendered_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -156,6 +165,7 @@ def queries() -> dict:
         "op6_warc_chunks": op6_warc_chunks,
         "op4_language_id": op4_language_id,
         "op7_line_dedup": op7_line_dedup,
+        "op8_chat_turns": op8_chat_turns,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_source_mix": op10_source_mix,
         "pipeline": pipeline,
