@@ -1,3 +1,3 @@
-"""codecframe: compressed-data operators for PySpark."""
+"""A PySpark-native engine for compressed binary data."""
 
-__version__ = "0.0.0"
+__version__ = "0.1.0"
