@@ -1 +1,125 @@
-"""codecframe: functions."""
+"""Column functions: codecs that report errors as data, and what Catalyst can express alone."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from codecframe import registry
+from codecframe.options import Options
+from codecframe.status import OK, CodecError
+
+RESULT = "struct<status:string,detail:string,data:binary,bytes_in:long,bytes_out:long>"
+_result = pa.struct([("status", pa.string()), ("detail", pa.string()), ("data", pa.binary()), ("bytes_in", pa.int64()), ("bytes_out", pa.int64())])
+
+
+def result(method: str, side: str, data: bytes, options: Options, reg: registry.Registry | None = None) -> dict:
+    """One value's codec_result."""
+    try:
+        out = registry.run(method, side, data, options, reg)
+        return {"status": OK, "detail": "", "data": out, "bytes_in": len(data), "bytes_out": len(out)}
+    except CodecError as e:
+        return {"status": e.status, "detail": e.detail, "data": None, "bytes_in": len(data), "bytes_out": 0}
+
+
+def _codec(col: Column, method: str, side: str, options: dict | None, reg: registry.Registry | None) -> Column:
+    opts = Options(options)
+    (reg or registry.DEFAULT).create(method, side, opts)  # bad names and options fail before the plan is built
+    methods = None if reg is None else [reg.find(n) for n in reg.names()]
+
+    @F.arrow_udf(RESULT)
+    def apply(values: pa.Array) -> pa.Array:
+        r = None
+        if methods is not None:
+            r = registry.Registry()
+            for m in methods:
+                r.register(m)
+        return pa.array([None if v is None else result(method, side, v, opts, r) for v in (x.as_py() for x in values)], _result)
+
+    return apply(col.cast("binary"))
+
+
+def encode(col: Column, method: str, options: dict | None = None, reg: registry.Registry | None = None) -> Column:
+    """Encode a binary (or UTF-8 string) column; a struct with status, detail, data and sizes."""
+    return _codec(col, method, "encoder", options, reg)
+
+
+def decode(col: Column, method: str, options: dict | None = None, reg: registry.Registry | None = None) -> Column:
+    """Decode a binary column under the limits in ``options``."""
+    return _codec(col, method, "decoder", options, reg)
+
+
+def strict(res: Column) -> Column:
+    """The data of a codec_result; any error fails the query."""
+    return F.when(res["status"] == OK, res["data"]).when(res.isNull(), F.lit(None)).otherwise(F.raise_error(F.concat(res["status"], F.lit(": "), res["detail"])).cast("binary"))
+
+
+def crc32_raw(col: Column) -> Column:
+    """CRC-32 before the final inversion; 0 for empty input."""
+    b = col.cast("binary")
+    return F.when(F.octet_length(b) == 0, F.lit(0).cast("long")).otherwise(F.crc32(b).bitwiseXOR(F.lit(0xFFFFFFFF)))
+
+
+def isize(col: Column) -> Column:
+    return F.pmod(F.octet_length(col.cast("binary")).cast("long"), F.lit(1 << 32))
+
+
+def xfl(level: Column) -> Column:
+    return F.when(level <= 2, 4).when(level >= 6, 2).otherwise(0)
+
+
+def little_endian(value: Column, size: int) -> Column:
+    """Unsigned integer to ``size`` bytes, lowest first."""
+    h = F.lpad(F.hex(value), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(h, 2 * i - 1, 2) for i in range(size, 0, -1)]))
+
+
+def unsigned_at(data: Column, at: int | Column, size: int) -> Column:
+    """Little-endian unsigned integer at a byte position (from 0)."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    h = F.hex(F.substring(data, at + 1, F.lit(size)))
+    return F.conv(F.concat(*[F.substring(h, 2 * i - 1, 2) for i in range(size, 0, -1)]), 16, 10).cast("long")
+
+
+def stored_deflate(col: Column) -> Column:
+    """Level-0 DEFLATE of a value as a plain expression: full stored blocks and a last one."""
+    b, n = col.cast("binary"), F.octet_length(col.cast("binary"))
+    blocks = F.sequence(F.lit(0), F.floor(n / 65535).cast("int"))
+    last = F.floor(n / 65535).cast("int")
+
+    def block(i: Column) -> Column:
+        size = F.least(F.lit(65535), n - i * 65535)
+        return F.hex(F.concat(F.when(i == last, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), little_endian(size, 2), little_endian(F.lit(65535) - size, 2), F.substring(b, i * 65535 + 1, size)))
+
+    return F.unhex(F.array_join(F.transform(blocks, block), ""))
+
+
+def stored_gzip(col: Column) -> Column:
+    """Level-0 gzip of a value as a plain expression."""
+    b = col.cast("binary")
+    return F.concat(F.unhex(F.lit("1F8B08000000000004FF")), stored_deflate(b), little_endian(F.crc32(b), 4), little_endian(isize(b), 4))
+
+
+def gzip_header(data: Column) -> Column:
+    """The fixed ten bytes of a gzip header, and the trailer of a one-member stream."""
+    n = F.octet_length(data)
+    return F.struct(
+        (F.hex(F.substring(data, 1, 2)) == "1F8B").alias("magic_ok"),
+        unsigned_at(data, 2, 1).alias("cm"),
+        unsigned_at(data, 3, 1).alias("flags"),
+        unsigned_at(data, 4, 4).alias("mtime"),
+        unsigned_at(data, 8, 1).alias("xfl"),
+        unsigned_at(data, 9, 1).alias("os"),
+        F.when(n >= 18, unsigned_at(data, n - 8, 4)).alias("crc"),
+        F.when(n >= 18, unsigned_at(data, n - 4, 4)).alias("isize"),
+    )
+
+
+def ratio_ok(bytes_in: Column, bytes_out: Column, ratio: Column) -> Column:
+    """Whether an expansion is allowed; ratio 0 is no cap, no input passes."""
+    wide = "decimal(38,0)"
+    out, size = bytes_out.cast(wide), F.nullif(bytes_in.cast(wide), F.lit(0).cast(wide))
+    over = out % size
+    whole = ((out - over) / size).cast(wide)  # exact, and no product that could overflow
+    return (ratio == 0) | (bytes_in == 0) | (whole < ratio.cast(wide)) | ((whole == ratio.cast(wide)) & (over == 0))

@@ -1,4 +1,212 @@
 """Queries over the driver's tables, with their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codecframe import functions as C
+from codecframe.operators import analytics as A
+from codecframe.operators import chunks as K
+from codecframe.operators import tables as T
+from codecframe.streaming import decode_stream
+
+
+def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*cols)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one; a local one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codecframe-")
+    return f"{base.rstrip('/')}/suite-{uuid.uuid4().hex}"
+
+
+def compression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: documents, their bytes, and how many a gzip round trip gives back."""
+    docs = read(spark, sf_dir, "documents", "lang", F.col("text").cast("binary").alias("raw"))
+    back = C.decode(C.encode(F.col("raw"), "gzip")["data"], "gzip")["data"]
+    same = (back == F.col("raw")).cast("long")
+    return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("raw").cast("long")).alias("raw_bytes"), F.sum(same).alias("same"))
+
+
+def gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    back = C.decode(C.encode(F.col("text"), "gzip", {"gzip.name": "t", "gzip.header_crc": True})["data"], "gzip")
+    return docs.select("doc_id", F.sha2(back["data"], 256).alias("sha"))
+
+
+def deflate_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels, strategies and windows over all conversations."""
+    rows, out = read(spark, sf_dir, "conversations", "conv_id", "turn", "text"), None
+    for level, strategy, bits in ((0, "default", 15), (1, "fixed", 15), (4, "rle", 12), (6, "default", 8), (6, "filtered", 15), (9, "huffman_only", 9)):
+        e = C.encode(F.col("text"), "deflate", {"deflate.level": level, "deflate.strategy": strategy, "deflate.window_bits": bits})["data"]
+        back = C.decode(e, "deflate", {"deflate.window_bits": bits})["data"]
+        one = rows.select("conv_id", "turn", F.lit(level).alias("level"), F.sha2(back, 256).alias("sha"))
+        out = one if out is None else out.unionAll(one)
+    return out.groupBy("conv_id", "turn", "sha").agg(F.count("*").alias("n"))
+
+
+def crc_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part", "p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("crc"), C.crc32_raw(F.col("p_name")).alias("raw"))
+
+
+def gzip_header_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "html")
+    h = pages.select("page_id", C.gzip_header(C.encode(F.col("html"), "gzip")["data"]).alias("h"), C.isize(F.col("html")).alias("size"))
+    return h.select("page_id", "h.magic_ok", "h.cm", "h.flags", "h.mtime", "h.xfl", "h.os", "h.isize", "size")
+
+
+def deflate_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored blocks by plain expressions, equal to the kernel's."""
+    rows = read(spark, sf_dir, "part", "p_partkey", "p_name")
+    kernel = C.encode(F.col("p_name"), "deflate", {"deflate.level": 0})["data"]
+    return rows.select("p_partkey", F.lower(F.hex(C.stored_deflate(F.col("p_name")))).alias("bytes"), (kernel == C.stored_deflate(F.col("p_name"))).alias("same"))
+
+
+def level0_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "pages", "page_id", "html")
+    return rows.select("page_id", F.octet_length(C.encode(F.col("html"), "deflate", {"deflate.level": 0})["data"]).cast("long").alias("size"), F.octet_length(C.stored_gzip(F.col("html"))).cast("long").alias("gzip_size"))
+
+
+def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.byte_histogram(read(spark, sf_dir, "part", "p_name"), "p_name").select(F.col("sym").cast("long").alias("sym"), "n")
+
+
+def entropy_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.entropy_bits(byte_histogram(spark, sf_dir)).select(F.round("entropy_bits", 6).alias("entropy_bits"))
+
+
+def huffman_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.huffman_lengths(A.byte_histogram(read(spark, sf_dir, "documents", "text"), "text"))
+
+
+def part_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths 3 to 10 of the parts of a brand, as an alphabet with few symbols each length."""
+    rows = read(spark, sf_dir, "nation", F.col("n_regionkey").alias("alphabet"), F.col("n_nationkey").alias("sym"))
+    return rows.withColumn("len", (F.pmod("sym", F.lit(5)) + 3).cast("int"))
+
+
+def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.canonical_codes(part_lengths(spark, sf_dir), "alphabet").select("alphabet", "sym", "len", "code")
+
+
+def kraft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.kraft(part_lengths(spark, sf_dir), "alphabet")
+
+
+def match_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length symbol of 3 to 258, from the parts' sizes."""
+    rows = read(spark, sf_dir, "part", "p_partkey", (F.pmod("p_partkey", F.lit(256)) + 3).alias("value"))
+    return A.match_codes(rows, "value").select("p_partkey", "value", F.col("code").cast("long").alias("code"))
+
+
+def option_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "deflate.level", "6"), (2, "deflate.level", "10"), (3, "deflate.strategy", "rle"), (4, "deflate.strategy", "best"), (5, "gzip.concat", "true"), (6, "no.such", "1"), (7, "limits.max_output_bytes", "0"), (8, "deflate.window_bits", "7")]
+    return A.check_options(spark.createDataFrame(rows, "set_id long, key string, value string"), A.option_schema(spark, "gzip"))
+
+
+def ratio_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("bytes_in"), F.col("l_extendedprice").cast("long").alias("bytes_out"))
+    return rows.where(C.ratio_ok(F.col("bytes_in"), F.col("bytes_out"), F.lit(1500))).select("l_orderkey", "l_linenumber")
+
+
+def concat_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as members of one gzip stream, decoded together."""
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("z", C.encode(F.col("text"), "gzip")["data"])
+    g = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.hex("z").alias("h")))).alias("p"))
+    whole = F.unhex(F.array_join("p.h", ""))
+    return g.select("conv_id", F.sha2(C.decode(whole, "gzip", {"gzip.concat": True})["data"], 256).alias("sha"))
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "html").withColumn("z", C.encode(F.col("html"), "gzip")["data"])
+    return K.split(pages, "page_id", "z", 500)
+
+
+def chunked_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.transcode(_chunked(spark, sf_dir), "gzip")
+    return out.groupBy(F.col("stream_id").cast("long").alias("page_id")).agg(F.sum(F.octet_length("data").cast("long")).alias("size"), F.min("status").alias("status"))
+
+
+def chunked_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = K.split(read(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey", "p_name", 4)
+    return K.crc_of_chunks(parts, run=2).select(F.col("stream_id").cast("long").alias("p_partkey"), "crc", "size")
+
+
+def corrupt_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each damage to a page's gzip and the status it gives."""
+    z, n = F.col("z"), F.octet_length("z")
+    flip = F.concat(F.substring(z, F.lit(1), n - 8), F.unhex(F.lit("DEADBEEF")), F.substring(z, n - 3, F.lit(4)))
+    cases = F.map_from_arrays(
+        F.array(*[F.lit(x) for x in ("whole", "crc", "cut", "magic", "method", "reserved")]),
+        F.array(z, flip, F.substring(z, F.lit(1), n - 1), F.concat(F.unhex(F.lit("00")), F.substring(z, F.lit(2), n)), F.concat(F.unhex(F.lit("1F8B07")), F.substring(z, F.lit(4), n)), F.concat(F.unhex(F.lit("1F8B0820")), F.substring(z, F.lit(5), n))),
+    )
+    rows = read(spark, sf_dir, "pages", "page_id", "html").select("page_id", C.encode(F.col("html"), "gzip")["data"].alias("z"))
+    rows = rows.select("page_id", F.explode(cases).alias("damage", "data"))
+    return rows.withColumn("status", C.decode(F.col("data"), "gzip")["status"]).groupBy("damage", "status").agg(F.count("*").alias("n"))
+
+
+def gzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part", "p_partkey", C.encode(F.col("p_name"), "gzip", {"gzip.name": "part"})["data"].alias("z"))
+    T.register_sql(spark)
+    rows.createOrReplaceTempView("codecframe_members")
+    return spark.sql("SELECT p_partkey, m.member, m.flags, m.name, m.crc, m.isize, m.status FROM codecframe_members, LATERAL gzip_members(z) m")
+
+
+def deflate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part", "p_partkey", C.encode(F.col("p_name"), "deflate", {"deflate.strategy": "fixed"})["data"].alias("z"))
+    T.register_sql(spark)
+    rows.createOrReplaceTempView("codecframe_blocks")
+    return spark.sql("SELECT p_partkey, b.block, b.kind, b.final, b.bytes_out, b.status FROM codecframe_blocks, LATERAL deflate_blocks(z) b")
+
+
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.run_stats(read(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey", "p_name")
+
+
+def streaming_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as a stream of files, decoded with state, to a table."""
+    at = work_dir(spark)
+    source = _chunked(spark, sf_dir)
+    source.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+    q = decode_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("stream_id").cast("long").alias("page_id"), "status", F.sha2("data", 256).alias("sha"))
+
+
+QUERIES = {f.__name__: f for f in (compression_report, gzip_roundtrip, deflate_matrix, crc_part, gzip_header_peek, deflate_level0, level0_size, byte_histogram, entropy_bits, huffman_lengths, canonical_codes, kraft_check, match_codes, option_check, ratio_filter, concat_members, chunked_decode, chunked_crc, corrupt_status, gzip_members, deflate_blocks, run_stats, streaming_decode)}
+
+_CRC = """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+c AS (SELECT p_partkey, p_name, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(p_name, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS crc FROM part, t)
+"""
+_BYTES = "SELECT ord(unnest(string_split(p_name, ''))) AS sym FROM part"
+_LENS = "SELECT n_regionkey AS alphabet, n_nationkey AS sym, (n_nationkey % 5 + 3)::INT AS len FROM nation"
+ORACLES = {
+    "compression_report": "SELECT lang, count(*) AS docs, sum(strlen(text))::BIGINT AS raw_bytes, count(*) AS same FROM documents GROUP BY lang",
+    "gzip_roundtrip": "SELECT doc_id, sha256(text) AS sha FROM documents",
+    "deflate_matrix": "SELECT conv_id, turn, sha256(text) AS sha, (6 * count(*))::BIGINT AS n FROM conversations GROUP BY ALL",
+    "crc_part": _CRC + "SELECT p_partkey, crc, xor(crc, 4294967295)::BIGINT AS raw FROM c",
+    "gzip_header_peek": "SELECT page_id, true AS magic_ok, 8::BIGINT AS cm, 0::BIGINT AS flags, 0::BIGINT AS mtime, 2::BIGINT AS xfl, 255::BIGINT AS os, strlen(html)::BIGINT AS isize, strlen(html)::BIGINT AS size FROM pages",
+    "deflate_level0": "SELECT p_partkey, lower('01' || substr(printf('%04X', strlen(p_name)), 3, 2) || substr(printf('%04X', strlen(p_name)), 1, 2) || substr(printf('%04X', 65535 - strlen(p_name)), 3, 2) || substr(printf('%04X', 65535 - strlen(p_name)), 1, 2) || hex(encode(p_name))) AS bytes, true AS same FROM part",
+    "level0_size": "SELECT page_id, (strlen(html) + 5 * (strlen(html) // 65535 + 1))::BIGINT AS size, (strlen(html) + 5 * (strlen(html) // 65535 + 1) + 18)::BIGINT AS gzip_size FROM pages",
+    "byte_histogram": f"SELECT sym::BIGINT AS sym, count(*) AS n FROM ({_BYTES}) GROUP BY sym",
+    "entropy_bits": f"SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy_bits FROM (SELECT sym, count(*) AS n FROM ({_BYTES}) GROUP BY sym)",
+    "canonical_codes": f"SELECT alphabet, sym, len, (coalesce(sum((1 << (15 - len))::BIGINT) OVER (PARTITION BY alphabet ORDER BY len, sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (15 - len))::BIGINT AS code FROM ({_LENS})",
+    "kraft_check": f"SELECT alphabet, sum(1 << (15 - len))::BIGINT AS kraft, sum(1 << (15 - len)) <= 32768 AS valid, sum(1 << (15 - len)) = 32768 AS complete FROM ({_LENS}) GROUP BY alphabet",
+    "match_codes": "WITH e AS (SELECT c, CASE WHEN c < 8 OR c = 28 THEN 0 ELSE c // 4 - 1 END AS extra FROM range(29) r(c)), b AS (SELECT c, CASE WHEN c = 28 THEN 258 ELSE 3 + coalesce(sum(1 << extra) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS base FROM e) SELECT p_partkey, p_partkey % 256 + 3 AS value, (SELECT max(c) + 257 FROM b WHERE base <= p_partkey % 256 + 3)::BIGINT AS code FROM part",
+    "option_check": "SELECT * FROM (VALUES (1::BIGINT, 'deflate.level', 'OK'), (2, 'deflate.level', 'INVALID_ARG'), (3, 'deflate.strategy', 'OK'), (4, 'deflate.strategy', 'INVALID_ARG'), (5, 'gzip.concat', 'OK'), (6, 'no.such', 'INVALID_ARG'), (7, 'limits.max_output_bytes', 'OK'), (8, 'deflate.window_bits', 'INVALID_ARG')) v(set_id, key, status)",
+    "ratio_filter": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE trunc(l_quantity) = 0 OR trunc(l_extendedprice) <= 1500 * trunc(l_quantity)",
+    "concat_members": "SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS sha FROM conversations GROUP BY conv_id",
+    "chunked_decode": "SELECT page_id, strlen(html)::BIGINT AS size, 'OK' AS status FROM pages",
+    "chunked_crc": _CRC + "SELECT p_partkey, crc, strlen(p_name)::BIGINT AS size FROM c",
+    "corrupt_status": "SELECT damage, status, (SELECT count(*) FROM pages) AS n FROM (VALUES ('whole', 'OK'), ('crc', 'CORRUPT'), ('cut', 'CORRUPT'), ('magic', 'CORRUPT'), ('method', 'UNSUPPORTED'), ('reserved', 'CORRUPT')) v(damage, status)",
+    "gzip_members": _CRC + "SELECT p_partkey, 0 AS member, 8 AS flags, 'part' AS name, crc, strlen(p_name)::BIGINT AS isize, 'OK' AS status FROM c",
+    "deflate_blocks": "SELECT p_partkey, 0 AS block, 'fixed' AS kind, true AS final, strlen(p_name)::BIGINT AS bytes_out, 'OK' AS status FROM part",
+    "run_stats": "WITH b AS (SELECT p_partkey, i, substr(p_name, i::INT, 1) AS c FROM part, unnest(range(1, length(p_name) + 1)) u(i)), s AS (SELECT *, coalesce(c <> lag(c) OVER (PARTITION BY p_partkey ORDER BY i), true)::INT AS new FROM b), g AS (SELECT *, sum(new) OVER (PARTITION BY p_partkey ORDER BY i) AS run FROM s), r AS (SELECT p_partkey, run, count(*) AS n FROM g GROUP BY ALL) SELECT p_partkey, count(*) AS n_runs, max(n) AS longest FROM r GROUP BY p_partkey",
+    "streaming_decode": "SELECT page_id, 'OK' AS status, sha256(html) AS sha FROM pages",
+}

@@ -1 +1,60 @@
-"""codecframe: streaming."""
+"""Structured Streaming: stateless encoding, and decoding of chunk streams with state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from codecframe import functions as C
+from codecframe.options import Options
+from codecframe.status import CORRUPT, LIMIT, OK
+
+OUTPUT = "stream_id string, status string, detail string, data binary"
+STATE = "seqs array<bigint>, chunks array<binary>, last bigint"
+
+
+def encode_stream(chunks: DataFrame, method: str = "gzip", options: dict | None = None) -> DataFrame:
+    """Each chunk becomes a member of its own, so no state is kept; members concatenate."""
+    r = C.encode(F.col("chunk"), method, options)
+    return chunks.select("stream_id", "seq", r["data"].alias("chunk"), "eof", r["status"].alias("status"))
+
+
+def _decode(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, method: str, options: Options, most: int) -> Iterator[pd.DataFrame]:
+    seqs, chunks, last = state.get if state.exists else ([], [], -1)
+    held, bad = dict(zip(seqs, chunks, strict=True)), ""
+    for frame in frames:
+        for seq, chunk, eof in zip(frame["seq"], frame["chunk"], frame["eof"], strict=True):
+            if seq in held:
+                bad = f"chunk {seq} came twice"
+            held[int(seq)] = bytes(chunk or b"")
+            last = int(seq) if eof else last
+    result = None
+    if bad:
+        result = (CORRUPT, bad, None)
+    elif sum(map(len, held.values())) > most:
+        result = (LIMIT, f"over {most} bytes wait for the end", None)
+    elif last >= 0 and len(held) == last + 1 and max(held) == last:
+        r = C.result(method, "decoder", b"".join(held[i] for i in range(last + 1)), options)
+        result = (r["status"], r["detail"], r["data"])
+    elif last >= 0 and max(held) > last:
+        result = (CORRUPT, "a chunk follows the last", None)
+    if result is None:
+        state.update((list(held), list(held.values()), last))
+        return
+    state.remove()
+    yield pd.DataFrame([(key[0], *result)], columns=["stream_id", "status", "detail", "data"])
+
+
+def decode_stream(chunks: DataFrame, method: str = "gzip", options: dict | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """Streaming chunk rows to one row a finished stream.
+
+    Encoded chunks wait in the state, in any order, until all up to the last are there; a
+    stream that holds more than ``most_bytes`` ends with LIMIT.
+    """
+    f = partial(_decode, method=method, options=Options(options), most=most_bytes)
+    return chunks.groupBy("stream_id").applyInPandasWithState(f, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
