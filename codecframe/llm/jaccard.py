@@ -1,9 +1,10 @@
 """Jaccard join of word-shingle sets: size-banded tiles with hashed bitmap signatures.
 
-Each distinct set is one node. Sets are banded by size, and within a band's tile the hash
-space is cut into so many parts that two sets over the threshold must agree in at least
-one part (their symmetric difference is smaller than the number of parts). Nodes that
-agree in a part are joined to blobs by connected components; a blob's bands are cut into
+Each distinct set is one node, banded by size. Its candidates are found by the rarest
+shingles of its set: a prefix, in one order for all sets, that two sets over the
+threshold must share an element of. Passages that many documents hold are common, so they
+come last and seldom meet. Nodes that
+share one are joined to blobs by connected components; a blob's bands are cut into
 blocks of bounded bytes, and a tile compares two blocks: bit counts of the bitmaps bound
 the overlap from above, and an exact intersection of the sorted arrays decides what is
 left. A tile returns links that connect what it found linked, not all pairs.
@@ -29,6 +30,8 @@ RATIO = 1.3
 #: Bytes of sets that a block may hold, and its most and least documents.
 BLOCK_BYTES, BLOCK_MOST, BLOCK_LEAST = 4_000_000, 1024, 16
 LARGEST_SET = 1 << 40
+#: Buckets of the shingle frequencies, which order shingles from rare to common.
+SKETCH_BITS = 20
 
 
 def band_edges(percent: int) -> np.ndarray:
@@ -39,30 +42,23 @@ def band_edges(percent: int) -> np.ndarray:
     return np.array(edges, np.int64)
 
 
-def parts(limit: int, percent: int) -> tuple[int, int]:
-    """Number of parts for sets of at most ``limit``, and how many may be empty in a set.
-
-    Linked sets of sizes n and m differ in at most (n + m) * (100 - percent) /
-    (100 + percent) elements, so of one part more at least one agrees; the spare parts
-    make up for empty ones, which tell nothing.
-    """
-    differ = 2 * limit * (100 - percent) // (100 + percent)
-    spare = 0 if not differ else 1 if differ < 10 else 2
-    return differ + 1 + spare, spare
-
-
-def part_hashes(s: np.ndarray, mixed: np.ndarray, tile: int, count: int, spare: int) -> np.ndarray:
-    """Hash of the set's elements in each part of the hash space, without empty parts.
-
-    A set with more empty parts than are spared keeps them.
-    """
-    run = np.zeros(len(s) + 1, U)
-    np.cumsum(mixed, out=run[1:])
-    cut = np.searchsorted((s >> U(32)) * U(count) >> U(32), np.arange(count + 1, dtype=U))
-    tags = ts.mix(np.arange(count, dtype=U) + U(tile << 40))
-    out = ts.mix((run[cut[1:]] - run[cut[:-1]]) ^ tags)
-    full = cut[1:] > cut[:-1]
-    return out[full] if count - full.sum() <= spare else out
+def sketch_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Documents of each bucket of shingles, summed over a task."""
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for batch in batches:
+        for s in shingle_sets(batch.column(0), k):
+            np.add.at(total, (s >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+
+def shingle_sketch(rows: DataFrame, k: int) -> np.ndarray:
+    """Frequencies of shingle buckets over all texts: a fixed number of sums is collected."""
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    sums = rows.select("text").mapInArrow(partial(sketch_batches, k=k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    table = sums.toArrow()
+    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    return out
 
 
 def set_digest(mixed: np.ndarray) -> int:
@@ -70,14 +66,15 @@ def set_digest(mixed: np.ndarray) -> int:
     return int(ts.mix(np.array([mixed.sum(dtype=U) + U(len(mixed))], U)).view(np.int64)[0])
 
 
-def signature(s: np.ndarray, percent: int, edges: np.ndarray) -> tuple[int, np.ndarray]:
-    """The set's identity, and its part hashes in the tiles of its own and the next band."""
-    mixed = ts.mix(s)
-    b = int(np.searchsorted(edges, len(s), "right")) - 1
-    out = [part_hashes(s, mixed, b, *parts(int(edges[b + 1]) - 1, percent))]
-    if 100 * len(s) >= percent * edges[b + 1]:
-        out.append(part_hashes(s, mixed, b + 1, *parts(int(edges[b + 2]) - 1, percent)))
-    return set_digest(mixed), np.concatenate(out).view(np.int64)
+def signature(s: np.ndarray, percent: int, sketch: np.ndarray) -> tuple[int, np.ndarray]:
+    """The set's identity and its prefix: of n elements, the n - ceil(n * percent / 100) + 1 rarest.
+
+    All sets are ordered alike, by bucket frequency, then hash. Linked sets share at least
+    ceil(n * percent / 100) elements of either, so the first that they share is in both prefixes.
+    """
+    size = len(s) - -(-len(s) * percent // 100) + 1
+    order = np.lexsort((s, sketch[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]))
+    return set_digest(ts.mix(s)), s[order[:size]].view(np.int64)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -85,13 +82,12 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from ts.shingles(*ts.word_hashes(data, off), k)
 
 
-def sign_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    edges = band_edges(percent)
+def sign_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: object) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, node, sigs = [], [], []
         for s in shingle_sets(batch.column(1), k):
             size.append(len(s))
-            d, h = signature(s, percent, edges) if len(s) else (0, np.zeros(0, np.int64))
+            d, h = signature(s, percent, sketch.value) if len(s) else (0, np.zeros(0, np.int64))
             node.append(d)
             sigs.append(h)
         flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
@@ -227,7 +223,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    sets = scratch.table(rows.mapInArrow(partial(sign_batches, k=k, percent=percent), f"doc_id {id_type}, n long, node long, sigs array<long>"), "sets")
+    sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(rows, k))  # 2^SKETCH_BITS numbers
+    sets = scratch.table(rows.mapInArrow(partial(sign_batches, k=k, percent=percent, sketch=sketch), f"doc_id {id_type}, n long, node long, sigs array<long>"), "sets")
     postings = sets.where("n > 0").select(F.explode("sigs").alias("sig"), "node")
     shared = scratch.table(postings.groupBy("sig").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("sig", "v"), "shared")
     near = postings.join(shared, "sig").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
