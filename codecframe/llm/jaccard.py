@@ -28,7 +28,7 @@ U = np.uint64
 #: Ratio of a band's upper to its lower size.
 RATIO = 1.3
 #: Bytes of sets that a block may hold, and its most and least documents.
-BLOCK_BYTES, BLOCK_MOST, BLOCK_LEAST = 4_000_000, 1024, 16
+BLOCK_BYTES, BLOCK_MOST, BLOCK_LEAST = 24_000_000, 4096, 16
 LARGEST_SET = 1 << 40
 #: Buckets of the shingle frequencies, which order shingles from rare to common.
 SKETCH_BITS = 20
