@@ -138,11 +138,15 @@ def tile_rows(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Each set once for every tile that it is compared in.
 
     A tile is two blocks of a band, or one of a band and one of the next; ``side`` tells
-    the blocks apart.
+    the blocks apart. A blob that fits in one block is one tile of all its bands, so that
+    its sets are moved once.
     """
     sizes = scratch.table(sets.groupBy("blob", "band").agg(F.count("*").alias("m")).withColumn("blocks", blocks_in_band(F.col("m"), F.col("band"), percent)), "bands")
+    upper = F.element_at(F.array(*[F.lit(int(e)) for e in band_edges(percent)[1:]]), F.col("band") + 1)
+    blobs = sizes.groupBy("blob").agg(F.sum("m").alias("all"), F.sum(F.col("m") * upper * 9).alias("bytes"), F.max("band").alias("top"))
+    blobs = scratch.table(blobs.select("blob", "all", "top", ((F.col("all") <= BLOCK_MOST) & (F.col("bytes") <= BLOCK_BYTES)).alias("small")), "blobs")
     near = lambda step, name: sizes.select("blob", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
-    around = scratch.table(sizes.join(near(1, "above"), ["blob", "band"], "left").join(near(-1, "below"), ["blob", "band"], "left"), "around")
+    around = scratch.table(sizes.join(near(1, "above"), ["blob", "band"], "left").join(near(-1, "below"), ["blob", "band"], "left").join(blobs, "blob").where("all > 1"), "around")
     s = sets.join(around, ["blob", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     upto = lambda n: F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda x: x < n)
     tile = lambda low, kind, i, j, side: F.struct(low.alias("low"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
@@ -151,7 +155,8 @@ def tile_rows(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     same = F.transform(upto(F.col("blocks")), lambda x: tile(F.col("band"), 0, F.least(x, own), F.greatest(x, own), own > x))
     above = F.transform(upto(F.col("above")), lambda x: tile(F.col("band"), 1, own, x, F.lit(0)))
     below = F.transform(upto(F.col("below")), lambda x: tile(F.col("band") - 1, 1, x, own, F.lit(1)))
-    tiles = F.concat(F.when(F.col("m") > 1, same).otherwise(none), F.when(F.col("above").isNotNull() & F.col("up"), above).otherwise(none), F.when(F.col("below").isNotNull(), below).otherwise(none))
+    whole = F.array(tile(F.col("top"), 0, F.lit(0), F.lit(0), F.lit(0)))
+    tiles = F.when(F.col("small"), whole).otherwise(F.concat(F.when(F.col("m") > 1, same).otherwise(none), F.when(F.col("above").isNotNull() & F.col("up"), above).otherwise(none), F.when(F.col("below").isNotNull(), below).otherwise(none)))
     out = s.select("node", "blob", "n", "elements", F.explode(tiles).alias("t")).select("blob", "t.*", "node", "n", "elements")
     key = ["blob", "low", "kind", "i", "j"]
     return out.repartition(*key).sortWithinPartitions(*key, "side", "node")
