@@ -5,15 +5,16 @@ shingles of its set: a prefix, in one order for all sets, that two sets over the
 threshold must share an element of. Passages that many documents hold are common, so they
 come last and seldom meet. Nodes that
 share one are joined to blobs by connected components; a blob's bands are cut into
-blocks of bounded bytes, and a tile compares two blocks: bit counts of the bitmaps bound
-the overlap from above, and an exact intersection of the sorted arrays decides what is
-left. A tile returns links that connect what it found linked, not all pairs.
+blocks of bounded bytes, and a tile compares the bitmaps of two blocks: bit counts bound
+the overlap from above. A tile returns links that connect what may be linked, not all
+pairs; an exact intersection of the sorted arrays decides on each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ RATIO = 1.3
 #: Bytes of sets that a block may hold, and its most and least documents.
 BLOCK_BYTES, BLOCK_MOST, BLOCK_LEAST = 24_000_000, 4096, 16
 LARGEST_SET = 1 << 40
+#: Bits of the longest bitmap, as a power of two, and links of a star that is verified at a time.
+MOST_BITS, STAR = 24, 64
 #: Buckets of the shingle frequencies, which order shingles from rare to common.
 SKETCH_BITS = 20
 
@@ -96,15 +99,23 @@ def sign_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch
 
 
 def bitmap(s: np.ndarray, upper: int) -> np.ndarray:
-    """Bitmap of hashed elements, eight bits or more for each."""
-    bits = 1 << min(17, max(8, int(upper * 8 - 1).bit_length()))
+    """Bitmap of hashed elements, eight bits or more for each of ``upper``."""
+    bits = 1 << min(MOST_BITS, max(8, int(upper * 8 - 1).bit_length()))
     z = np.zeros(bits, bool)
     z[(s >> U(5)) & U(bits - 1)] = True
     return np.packbits(z, bitorder="little").view(U)
 
 
-def load_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(node, blob, text) to (node, blob, band, up, n, elements); rows whose text is another set go."""
+def folded(maps: list[np.ndarray], words: int) -> np.ndarray:
+    """Bitmaps of ``words`` words or more, made as short as that: halves are united."""
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, words), 0) for m in maps])
+
+
+def load_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """(node, blob, text) to (node, blob, band, up, n, payload); rows whose text is another set go.
+
+    The payload is the set's sorted elements if ``exact``, else its bitmap.
+    """
     edges, seen = band_edges(percent), set()
     for batch in batches:
         node, blob = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -113,8 +124,9 @@ def load_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Ite
             if len(s) and node[i] not in seen and set_digest(ts.mix(s)) == node[i]:
                 seen.add(node[i])
                 b = int(np.searchsorted(edges, len(s), "right")) - 1
-                rows.append((node[i], blob[i], b, 100 * len(s) >= percent * int(edges[b + 1]), len(s), s.tobytes()))
-                size += 8 * len(s)
+                payload = (s if exact else bitmap(s, int(edges[b + 1]))).tobytes()
+                rows.append((node[i], blob[i], b, 100 * len(s) >= percent * int(edges[b + 1]), len(s), payload))
+                size += len(payload)
             if size > 8_000_000:
                 yield _loaded(rows)
                 rows, size = [], 0
@@ -124,26 +136,26 @@ def load_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Ite
 
 def _loaded(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "blob", "band", "up", "n", "elements"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "blob", "band", "up", "n", "payload"])
 
 
-def blocks_in_band(m: F.Column, band: F.Column, percent: int) -> F.Column:
-    """Blocks for ``m`` sets of a band, by the bytes of its largest."""
+def blocks_in_band(m: F.Column, band: F.Column, percent: int, width: int) -> F.Column:
+    """Blocks for ``m`` sets of a band, by the bytes of its largest, ``width`` an element."""
     edges = band_edges(percent)
-    most = [max(BLOCK_LEAST, min(BLOCK_MOST, BLOCK_BYTES // (9 * int(e)))) for e in edges[1:]]
+    most = [max(BLOCK_LEAST, min(BLOCK_MOST, BLOCK_BYTES // (width * int(e)))) for e in edges[1:]]
     return F.ceil(m / F.element_at(F.array(*[F.lit(x) for x in most]), band + 1)).cast("int")
 
 
-def tile_rows(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def tile_rows(sets: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """Each set once for every tile that it is compared in.
 
     A tile is two blocks of a band, or one of a band and one of the next; ``side`` tells
     the blocks apart. A blob that fits in one block is one tile of all its bands, so that
     its sets are moved once.
     """
-    sizes = scratch.table(sets.groupBy("blob", "band").agg(F.count("*").alias("m")).withColumn("blocks", blocks_in_band(F.col("m"), F.col("band"), percent)), "bands")
+    sizes = scratch.table(sets.groupBy("blob", "band").agg(F.count("*").alias("m")).withColumn("blocks", blocks_in_band(F.col("m"), F.col("band"), percent, width)), "bands")
     upper = F.element_at(F.array(*[F.lit(int(e)) for e in band_edges(percent)[1:]]), F.col("band") + 1)
-    blobs = sizes.groupBy("blob").agg(F.sum("m").alias("all"), F.sum(F.col("m") * upper * 9).alias("bytes"), F.max("band").alias("top"))
+    blobs = sizes.groupBy("blob").agg(F.sum("m").alias("all"), F.sum(F.col("m") * upper * width).alias("bytes"), F.max("band").alias("top"))
     blobs = scratch.table(blobs.select("blob", "all", "top", ((F.col("all") <= BLOCK_MOST) & (F.col("bytes") <= BLOCK_BYTES)).alias("small")), "blobs")
     near = lambda step, name: sizes.select("blob", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
     around = scratch.table(sizes.join(near(1, "above"), ["blob", "band"], "left").join(near(-1, "below"), ["blob", "band"], "left").join(blobs, "blob").where("all > 1"), "around")
@@ -157,64 +169,133 @@ def tile_rows(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     below = F.transform(upto(F.col("below")), lambda x: tile(F.col("band") - 1, 1, x, own, F.lit(1)))
     whole = F.array(tile(F.col("top"), 0, F.lit(0), F.lit(0), F.lit(0)))
     tiles = F.when(F.col("small"), whole).otherwise(F.concat(F.when(F.col("m") > 1, same).otherwise(none), F.when(F.col("above").isNotNull() & F.col("up"), above).otherwise(none), F.when(F.col("below").isNotNull(), below).otherwise(none)))
-    out = s.select("node", "blob", "n", "elements", F.explode(tiles).alias("t")).select("blob", "t.*", "node", "n", "elements")
+    out = s.select("node", "blob", "n", "payload", F.explode(tiles).alias("t")).select("blob", "t.*", "node", "n", "payload")
     key = ["blob", "low", "kind", "i", "j"]
-    return out.repartition(*key).sortWithinPartitions(*key, "side", "node")
+    return out.repartition(*key).sortWithinPartitions(*key, "side", "node").select(*key, "side", "node", "n", "payload")
 
 
-def compare_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def compare_batches(batches: Iterator[pa.RecordBatch], percent: int, exact: bool) -> Iterator[pa.RecordBatch]:
     """Links of consecutive rows of a tile; one tile is held at a time."""
     edges = band_edges(percent)
+    give = _links if exact else _stars
     key, held = None, []
     links: list[tuple[int, int]] = []
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(8)]
-        for blob, low, kind, i, j, side, node, elements in zip(*cols, strict=True):
+        cols = [batch.column(i).to_pylist() for i in range(9)]
+        for blob, low, kind, i, j, side, node, n, payload in zip(*cols, strict=True):
             if key != (blob, low, kind, i, j):
-                links += compare_tile(key, held, percent, edges)
+                links += compare_tile(key, held, percent, exact, edges)
                 key, held = (blob, low, kind, i, j), []
-            held.append((side, node, np.frombuffer(elements, U)))
+            held.append((side, node, n, np.frombuffer(payload, U)))
         if links:
-            yield _links(links)
+            yield give(links)
             links = []
-    links += compare_tile(key, held, percent, edges)
-    yield _links(links)
+    links += compare_tile(key, held, percent, exact, edges)
+    yield give(links)
 
 
 def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["u", "v"])
 
 
-def compare_tile(key: tuple | None, rows: list[tuple], percent: int, edges: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a tile, and no more than these need."""
+def _stars(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Links as stars of at most ``STAR`` ends: (star, hub, node), one row of each is the hub's own."""
+    out: list[tuple[int, int, int]] = []
+    for u, run in groupby(links, key=lambda x: x[0]):
+        ends = [v for _, v in run]
+        for at in range(0, len(ends), STAR):
+            star = set_digest(ts.mix(np.array([u, ends[at]], np.int64).view(U)))
+            out += [(star, u, node) for node in [u, *ends[at : at + STAR]]]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["star", "hub", "node"])
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Exact intersection of two sorted sets against the threshold."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def compare_tile(key: tuple | None, rows: list[tuple], percent: int, exact: bool, edges: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of a tile, and no more than these need.
+
+    Without ``exact`` the bound of the bitmaps decides, so that links may be too many.
+    """
     if len(rows) < 2:
         return []
-    _, low, kind, i, j = key
-    rows = list({(r[0], r[1]): r for r in rows}.values())
+    _, _, kind, i, j = key
+    rows = sorted({(r[0], r[1]): r for r in rows}.values(), key=lambda r: (r[2], r[1]))
     whole = kind == 0 and i == j
-    sets = [r[2] for r in rows]
-    sizes = np.array([len(s) for s in sets])
-    maps = np.stack([bitmap(s, int(edges[low + 1])) for s in sets])
+    sizes = np.array([r[2] for r in rows])
+    # a larger set's bitmap is as long or longer, and the first of a pair is of the same or the lower band
+    maps = [bitmap(r[3], int(edges[np.searchsorted(edges, r[2], "right")])) for r in rows] if exact else [r[3] for r in rows]
+    long = np.array([len(m) for m in maps])
     side = np.array([r[0] for r in rows])
-    label = np.arange(len(rows))
-    out = []
-    right = np.flatnonzero(side == 1)
-    for x in range(len(rows) - 1) if whole else np.flatnonzero(side == 0).tolist():
-        y = np.arange(x + 1, len(rows)) if whole else right
+    label, out, width = np.arange(len(rows)), [], 0
+    left, right = (np.arange(len(rows)),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for x in left.tolist():
+        if long[x] != width:
+            width = int(long[x])
+            base = int(np.searchsorted(long, width))
+            flat = folded(maps[base:], width)
+            slack = sizes[base:] - np.bitwise_count(flat).sum(1, dtype=np.int64)
+        low, high = np.searchsorted(sizes[right], [-(-int(sizes[x]) * percent // 100), int(sizes[x]) * 100 // percent + 1])
+        y = right[max(low, x + 1) if whole else low : high]
         y = y[label[y] != label[x]]
         if not len(y):
             continue
-        both = sizes[y] + sizes[x]
-        bound = np.minimum(sizes[x] - np.bitwise_count(maps[x] & ~maps[y]).sum(1, dtype=np.int64), sizes[y] - np.bitwise_count(maps[y] & ~maps[x]).sum(1, dtype=np.int64))
-        for z in y[bound * (100 + percent) >= percent * both].tolist():
-            if label[z] != label[x]:
-                shared = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
-                if 100 * shared >= percent * (len(sets[x]) + len(sets[z]) - shared):
-                    out.append((rows[x][1], rows[z][1]))
-                    label[label == label[z]] = label[x]
+        bound = np.bitwise_count(flat[y - base] & flat[x - base]).sum(1, dtype=np.int64) + np.minimum(slack[x - base], slack[y - base])
+        for z in y[bound * (100 + percent) >= percent * (sizes[x] + sizes[y])].tolist():
+            if label[z] != label[x] and (not exact or linked(rows[x][3], rows[z][3], percent)):
+                out.append((rows[x][1], rows[z][1]))
+                label[label == label[z]] = label[x]
     return out
 
 
+def verify_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(star, hub, node, text), hubs first, to (u, v, ok): whether the texts' sets are linked."""
+    star, hub, last = None, None, None
+    for batch in batches:
+        stars, hubs, nodes = (batch.column(i).to_pylist() for i in range(3))
+        out = []
+        for s, key, u, v in zip(shingle_sets(batch.column(3), k), stars, hubs, nodes, strict=True):
+            if set_digest(ts.mix(s)) != v:  # another text of the same identifier
+                continue
+            if u == v:
+                star, hub, last = (key, u), s, None
+            elif v != last or star != (key, u):
+                out.append((u, v, star == (key, u) and linked(hub, s, percent)))
+                last = v
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["u", "v", "ok"])
+
+
+def exact_links(rows: DataFrame, members: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) within the blobs of ``members``.
+
+    Tiles of bitmaps propose links that connect what may be linked; these are verified by
+    the exact intersection. Where one of them fails, its whole component is compared
+    again in tiles of the sets themselves, because a link that was left out may be needed.
+    """
+
+    def tiles(of: DataFrame, exact: bool) -> DataFrame:
+        texts = rows.join(of, F.col("doc_id").eqNullSafe(F.col("member_id"))).select("node", "blob", "text")
+        loaded = texts.mapInArrow(partial(load_batches, k=k, percent=percent, exact=exact), "node long, blob long, band int, up boolean, n long, payload binary")
+        out = tile_rows(scratch.table(loaded, "loaded"), percent, 9 if exact else 2, scratch)
+        return out.mapInArrow(partial(compare_batches, percent=percent, exact=exact), "u long, v long" if exact else "star long, hub long, node long")
+
+    ids = members.select("node", "member_id")
+    stars = scratch.table(tiles(members, False), "stars").join(ids, "node")
+    texts = stars.join(rows, F.col("doc_id").eqNullSafe(F.col("member_id"))).select("star", "hub", "node", "text")
+    dealt = texts.repartition("star", "hub").sortWithinPartitions("star", "hub", F.col("node") != F.col("hub"), "node")
+    told = scratch.table(dealt.mapInArrow(partial(verify_batches, k=k, percent=percent), "u long, v long, ok boolean"), "verified")
+    links, failed = told.where("ok").select("u", "v"), told.where("not ok")
+    if failed.isEmpty():
+        return links
+    groups = components(told, scratch)
+    wrong = groups.join(failed.select(F.col("u").alias("node")), "node").select("label").distinct()
+    again = groups.join(wrong, "label", "left_semi").join(ids, "node").select("node", F.col("label").alias("blob"), "member_id")
+    return links.union(tiles(scratch.table(again, "again"), True))
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a document: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -236,12 +317,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     blobs = components(near, scratch)
     classes = scratch.table(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     members = scratch.table(classes.join(blobs.withColumnRenamed("label", "blob"), "node").select("node", "blob", F.col("first_id").alias("member_id")), "members")
-    loaded = rows.join(members, F.col("doc_id").eqNullSafe(F.col("member_id"))).select("node", "blob", "text")
-    loaded = loaded.mapInArrow(partial(load_batches, k=k, percent=percent), "node long, blob long, band int, up boolean, n long, elements binary")
-    loaded = scratch.table(loaded, "loaded")
-    tiles = tile_rows(loaded, percent, scratch).select("blob", "low", "kind", "i", "j", "side", "node", "elements")
-    linked = components(tiles.mapInArrow(partial(compare_batches, percent=percent), "u long, v long"), scratch)
-    groups = scratch.table(classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node")), "groups")
+    connected = components(exact_links(rows, members, k, percent, scratch), scratch)
+    groups = scratch.table(classes.join(connected, "node", "left").withColumn("label", F.coalesce("label", "node")), "groups")
     named = groups.join(groups.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("all")), "label")
     names = scratch.table(named.where(F.col("all") > 1).select("node", "component_id"), "names")
     out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(names, "node", "left")

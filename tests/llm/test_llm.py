@@ -32,7 +32,19 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "en", f"s{i % 3}" if i % 4 else None, None) for i, t in enumerate(texts)], DOCS)
 
 
-def test_jaccard_matches_brute_force(docs):
+@pytest.fixture(scope="module")
+def borderline(spark):
+    """Texts just below the threshold of each other, which bitmaps take for linked, and links among them."""
+    r = random.Random(8)
+    base = prose(400, r).split()
+    texts = [" ".join(base[:355] + prose(45, r).split()) for _ in range(12)]
+    texts += [" ".join(t.split()[:-7] + prose(7, r).split()) for t in texts[:6]] + [" ".join(base[:330] + prose(70, r).split())]
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.mark.parametrize("table", ["docs", "borderline"])
+def test_jaccard_matches_brute_force(table, request):
+    docs = request.getfixturevalue(table)
     for k, percent in ((3, 90), (5, 80)):
         sets, parent = {}, {}
         for r in docs.collect():
