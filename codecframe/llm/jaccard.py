@@ -35,6 +35,8 @@ LARGEST_SET = 1 << 40
 MOST_BITS, STAR = 24, 64
 #: Buckets of the shingle frequencies, which order shingles from rare to common.
 SKETCH_BITS = 20
+#: A shingle is hot if its bucket has more documents than HOT and HOT_RATIO times the mean.
+HOT, HOT_RATIO = 4096, 8
 
 
 def band_edges(percent: int) -> np.ndarray:
@@ -69,15 +71,16 @@ def set_digest(mixed: np.ndarray) -> int:
     return int(ts.mix(np.array([mixed.sum(dtype=U) + U(len(mixed))], U)).view(np.int64)[0])
 
 
-def signature(s: np.ndarray, percent: int, sketch: np.ndarray) -> tuple[int, np.ndarray]:
-    """The set's identity and its prefix: of n elements, the n - ceil(n * percent / 100) + 1 rarest.
+def signature(s: np.ndarray, percent: int, sketch: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The set's identity, its prefix, and the bucket frequencies of the prefix.
 
-    All sets are ordered alike, by bucket frequency, then hash. Linked sets share at least
+    Of n elements, the prefix is the n - ceil(n * percent / 100) + 1 rarest. All sets are ordered alike, by bucket frequency, then hash. Linked sets share at least
     ceil(n * percent / 100) elements of either, so the first that they share is in both prefixes.
     """
     size = len(s) - -(-len(s) * percent // 100) + 1
-    order = np.lexsort((s, sketch[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]))
-    return set_digest(ts.mix(s)), s[order[:size]].view(np.int64)
+    often = sketch[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.lexsort((s, often))[:size]
+    return set_digest(ts.mix(s)), s[order].view(np.int64), often[order]
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -86,16 +89,47 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def sign_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, sketch: object) -> Iterator[pa.RecordBatch]:
+    """(identifier, text) to (doc_id, n, node, sigs, hot): a hot shingle's bucket is far over the mean."""
+    most = HOT + HOT_RATIO * int(sketch.value.mean())
     for batch in batches:
-        size, node, sigs = [], [], []
+        size, node, sigs, hot = [], [], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for s in shingle_sets(batch.column(1), k):
             size.append(len(s))
-            d, h = signature(s, percent, sketch.value) if len(s) else (0, np.zeros(0, np.int64))
+            d, h, often = signature(s, percent, sketch.value) if len(s) else (0, np.zeros(0, np.int64), np.zeros(0, np.int64))
             node.append(d)
             sigs.append(h)
-        flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-        offs = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], ["doc_id", "n", "node", "sigs"])
+            hot.append(often > most)
+        offs = pa.array(np.cumsum([len(x) for x in sigs]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offs, pa.array(np.concatenate(x))) for x in (sigs, hot)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), *lists], ["doc_id", "n", "node", "sigs", "hot"])
+
+
+def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (sig, node) to (u, v): each node of a shingle with the first that holds it."""
+    last, head = None, np.int64(0)
+    for batch in batches:
+        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(sig):
+            continue
+        new = np.concatenate(([last is None or sig[0] != last], sig[1:] != sig[:-1]))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
+        first = np.where(at >= 0, node[at], head)
+        last, head = sig[-1], first[-1]
+        pick = node != first
+        yield pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array(first[pick])], ["u", "v"])
+
+
+def candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (u, v) that connect the nodes of each prefix shingle, not all their pairs.
+
+    A shingle's nodes are sorted together, in one shuffle. The hot ones, whose number has
+    no bound, are reduced before they are shuffled and split by the skew join instead.
+    """
+    postings = sets.where("n > 0").select("node", F.explode(F.arrays_zip("sigs", "hot")).alias("x")).select(F.col("x.sigs").alias("sig"), "node", F.col("x.hot").alias("hot"))
+    cold = postings.where("not hot").select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(neighbour_batches, "u long, v long")
+    hot = postings.where("hot").select("sig", "node")
+    shared = scratch.table(hot.groupBy("sig").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("sig", "v"), "shared")
+    return cold.union(hot.join(shared, "sig").where("node <> v").select(F.col("node").alias("u"), "v")).distinct()
 
 
 def bitmap(s: np.ndarray, upper: int) -> np.ndarray:
@@ -310,11 +344,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(rows, k))  # 2^SKETCH_BITS numbers
-    sets = scratch.table(rows.mapInArrow(partial(sign_batches, k=k, percent=percent, sketch=sketch), f"doc_id {id_type}, n long, node long, sigs array<long>"), "sets")
-    postings = sets.where("n > 0").select(F.explode("sigs").alias("sig"), "node")
-    shared = scratch.table(postings.groupBy("sig").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("sig", "v"), "shared")
-    near = postings.join(shared, "sig").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    blobs = components(near, scratch)
+    sets = scratch.table(rows.mapInArrow(partial(sign_batches, k=k, percent=percent, sketch=sketch), f"doc_id {id_type}, n long, node long, sigs array<long>, hot array<boolean>"), "sets")
+    blobs = components(candidates(sets, scratch), scratch)
     classes = scratch.table(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     members = scratch.table(classes.join(blobs.withColumnRenamed("label", "blob"), "node").select("node", "blob", F.col("first_id").alias("member_id")), "members")
     connected = components(exact_links(rows, members, k, percent, scratch), scratch)
