@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codecframe.llm import chat, decontam, fingerprint, jaccard, langid, lattice, linededup, mixing, resample, warc
+from codecframe.llm.store import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(3)
@@ -64,6 +65,18 @@ def test_jaccard_matches_brute_force(table, request):
         assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_candidates_connect_the_nodes_of_a_shingle(spark, hot):
+    rows = [(n, 1, [s for s in range(6) if (n * 7 + s) % 5 == 0] + [100 + n // 10], n) for n in range(40)]
+    sets = spark.createDataFrame(rows, "doc_id long, n long, sigs array<long>, node long").withColumn("hot", F.transform("sigs", lambda x: (x % 2 == 0) if hot else F.lit(False)))
+    by = {}
+    for n, _, sigs, _ in rows:
+        for s in sigs:
+            by.setdefault(s, []).append(n)
+    want = {(n, min(of)) for of in by.values() for n in of if n != min(of)}
+    assert {(r["u"], r["v"]) for r in jaccard.candidates(sets, Scratch(spark, "test")).collect()} == want
+
+
 def test_decontam_finds_substituted_passages(spark, docs):
     item = prose(40)
     changed = item.split()
