@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
-Fixed masks over a span of tokens ignore some positions, so that a seed survives
-substitutions there. Seeds of test pieces and of documents are joined inside the scan of
+Fixed masks ignore some positions, so that a seed survives substitutions there. The masks
+of a window length reach every window that agrees enough: whatever positions differ, some
+mask at some offset in the window ignores them all. Seeds of test pieces and of documents are joined inside the scan of
 the documents: the test side goes out in blocks of bounded size, one scan a block, and no
 document is shuffled. Each hit names a diagonal, on which the tokens around it are compared.
 """
@@ -20,9 +21,19 @@ from codecframe.llm import textscan as ts
 from codecframe.llm.store import Scratch
 
 U = np.uint64
-#: Masks over 12 tokens; "1" positions are hashed.
-MASKS = ("111111110000", "000011111111", "110110110110", "101101101101", "111000111001")
-SPAN = 12
+#: Masks by tokens of the window; "1" positions are hashed. Those of 5 to 9 tokens stand
+#: one substitution anywhere, those of 10 to 13 two, as many as ``AGREE`` accepts.
+MASKS = {
+    5: ("1111", "10111", "11011", "11101"),
+    6: ("11111", "101111", "110111", "111011", "111101"),
+    7: ("11111", "110111", "1111001"),
+    8: ("111111", "11011011", "1110111"),
+    9: ("11011111", "110111101", "111100111", "101111011"),
+    10: ("1110111", "1011111", "1100101011", "111001011", "11111001"),
+    11: ("101001111", "11101101", "1100110011", "11010111"),
+    12: ("1110010111", "111100111", "11010101011", "1011010111", "11111101"),
+    13: ("1111101011", "110111111", "111001100111", "11010111011", "101110010111"),
+}
 #: Tokens of a verified window, and the share of them that must agree.
 WINDOW, AGREE = 13, 0.8
 #: Test texts of fewer tokens match nothing.
@@ -35,7 +46,7 @@ EXPAND = 1 << 20
 _table = np.arange(256, dtype=np.uint8)
 _table[65:91] += 32
 _table[[c for c in range(128) if not chr(c).isalnum()]] = 32
-_weights = ts.mix(np.arange(1, SPAN + 1, dtype=U) * U(ts.BASE)) | U(1)
+_weights = ts.mix(np.arange(1, WINDOW + 1, dtype=U) * U(ts.BASE)) | U(1)
 
 
 def token_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -46,14 +57,15 @@ def token_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             yield h[a:b]
 
 
-def seeds(h: np.ndarray, mask: int, length: int) -> np.ndarray:
-    """Seed of the mask, cut to ``length``, at every position."""
-    n = len(h) - length + 1
+def seeds(h: np.ndarray, window: int, mask: int) -> np.ndarray:
+    """Seed of a mask of the window length at every position."""
+    bits = MASKS[window][mask]
+    n = len(h) - len(bits) + 1
     if n <= 0:
         return np.zeros(0, U)
-    out = np.full(n, U(mask + 1 + 64 * length), U)
-    for p in range(length):
-        if MASKS[mask][p] == "1":
+    out = np.full(n, U(mask + 1 + 64 * window), U)
+    for p, bit in enumerate(bits):
+        if bit == "1":
             out += h[p : p + n] * _weights[p]
     return ts.mix(out)
 
@@ -76,11 +88,12 @@ class Index:
     def __init__(self, pieces: list[tuple]):
         self.items = [p[0] for p in pieces]
         self.tokens = [np.array(p[1], np.int64).view(U) for p in pieces]
-        self.lengths = sorted({min(SPAN, len(t)) for t in self.tokens})
+        self.windows = sorted({min(WINDOW, len(t)) for t in self.tokens})
         keys, piece, offset = [], [], []
         for i, t in enumerate(self.tokens):
-            for m in range(len(MASKS)):
-                s = seeds(t, m, min(SPAN, len(t)))
+            w = min(WINDOW, len(t))
+            for m in range(len(MASKS[w])):
+                s = seeds(t, w, m)
                 keys.append(s)
                 piece.append(np.full(len(s), i, np.int32))
                 offset.append(np.arange(len(s), dtype=np.int32))
@@ -95,9 +108,9 @@ class Index:
     def diagonals(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
         """(piece, document position of its first token) of all seed hits, once each."""
         seen: set[tuple[int, int]] = set()
-        for length in self.lengths:
-            for m in range(len(MASKS)):
-                s = seeds(h, m, length)
+        for w in self.windows:
+            for m in range(len(MASKS[w])):
+                s = seeds(h, w, m)
                 at = np.flatnonzero(self.bits[(s >> U(42)).astype(np.int64)])
                 if not len(at):
                     continue
@@ -180,7 +193,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, text: str = "text", doc_id: str
     ``item_id``, ``n_agree`` (tokens of the best window) and ``doc_token`` (its place).
 
     A window is ``WINDOW`` aligned tokens (all, if the test text has fewer), of which
-    ``AGREE`` agree. Null or empty texts and test texts of fewer than ``LEAST_TOKENS``
+    ``AGREE`` agree; every such window is found. Null or empty texts and test texts of fewer than ``LEAST_TOKENS``
     tokens match nothing; repeated rows give repeated results; repeated test texts each
     match; extra columns are ignored; an empty table on either side gives no rows.
     """

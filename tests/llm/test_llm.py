@@ -2,7 +2,7 @@ import hashlib
 import math
 import random
 import re
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -89,6 +89,24 @@ def test_decontam_finds_substituted_passages(spark, docs):
     assert decontam.overlaps(all_.limit(0), tests).count() == 0 == decontam.overlaps(all_, tests.limit(0)).count()
 
 
+def test_decontam_reaches_every_accepted_substitution():
+    r = random.Random(4)
+    for n in range(5, 17):
+        w = min(n, decontam.WINDOW)
+        item = np.array([r.getrandbits(63) for _ in range(n)], np.uint64)
+        index = decontam.Index([(1, item.view(np.int64).tolist())])
+        for k in range(n - math.ceil(decontam.AGREE * w) + 1):
+            for at in combinations(range(n), k):
+                doc = np.array([r.getrandbits(63) for _ in range(n + 14)], np.uint64)
+                doc[7 : 7 + n] = item
+                doc[[7 + i for i in at]] += np.uint64(1)
+                same = [i not in at for i in range(n)]
+                want = max(sum(same[i : i + w]) for i in range(n - w + 1))
+                got = index.search(doc)
+                assert (got[1][0] if got else 0) == (want if want >= decontam.AGREE * w else 0), (n, at)
+                assert index.hit(doc) == bool(got)
+
+
 def test_lattice_forward_sums_all_segmentations(docs):
     p = lattice.Pieces({lattice.WORD_START: math.log(0.5), lattice.WORD_START + "a": math.log(0.5), "a": math.log(0.3), "ab": math.log(0.2), "b": math.log(0.2), lattice.WORD_END: math.log(0.3)}, [-9.0] * 256)
     text = lattice.WORD_START + "aab" + lattice.WORD_END
