@@ -1,9 +1,10 @@
 """Transcript parsing by a hidden Markov model.
 
 States are a role and whether a line opens its turn; observations are the line's speaker
-marker, whether a blank line or the piece's start comes before it, whether it asks, and
-its length class. Transitions and emissions are counted on labelled transcripts. Viterbi
-recovers the roles. A conversation is cut into segments of bounded turns: max-plus matrices
+marker, whether a blank line comes before it, and its look (whether it asks, and its length
+class), which a state emits independently. Transitions and emissions are counted on
+labelled transcripts. A transcript comes in pieces of lines whose borders say nothing about
+its turns; Viterbi recovers where turns open and their roles. A conversation is cut into segments of bounded turns: max-plus matrices
 of segments give the states at their borders, between which each segment is decoded apart,
 so no task needs a whole conversation's lines.
 """
@@ -16,7 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecframe.llm.store import Scratch
@@ -30,10 +31,11 @@ MARKERS = {
 }
 _marker_role = {m: r for r, ms in MARKERS.items() for m in ms}
 _marker = re.compile(r"\s*(?:<\|(\w+)\|>|\[(\w+)\]|#{1,4}\s*(\w+)\s*:?|\*\*(\w+):?\*\*:?|(\w+)\s*:)[ \t]*", re.ASCII)
-#: Turns of a segment.
-SEGMENT = 1024
+#: Pieces (in fitting, turns) of a segment, and lines of a piece that ``transcripts`` cuts.
+SEGMENT, LINES = 1024, 16
 STATES = 2 * len(ROLES)  # 2 * role + (0 opens a turn, 1 goes on)
-SYMBOLS = 4 * 3 * 2 * 3
+LOOKS = 2 * 4
+SYMBOLS = 4 * 3 * LOOKS
 NEVER = -1e30
 
 
@@ -46,14 +48,15 @@ def split_marker(line: str) -> tuple[int, str]:
 
 
 def symbol(line: str, before: int) -> int:
-    """Observation; ``before`` is 0 after a line, 1 after a blank line, 2 at a piece's start."""
+    """Observation; ``before`` is 0 after a line, 1 after a blank line, 2 where that is not known."""
     marker, rest = split_marker(line)
-    size = 0 if len(rest) < 60 else 1 if len(rest) < 300 else 2
-    return ((marker * 3 + before) * 2 + rest.rstrip().endswith("?")) * 3 + size
+    size = 3 if not line.strip() else 0 if len(rest) < 60 else 1 if len(rest) < 300 else 2
+    return ((marker * 3 + before) * 2 + rest.rstrip().endswith("?")) * 4 + size
 
 
-def observe(text: str) -> np.ndarray:
-    out, before = [], 2
+def observe(text: str, before: int = 2) -> np.ndarray:
+    """Observations of a piece's lines; what comes before the piece is not known unless given."""
+    out = []
     for line in text.split("\n"):
         out.append(symbol(line, before))
         before = 0 if line.strip() else 1
@@ -64,7 +67,8 @@ class Model:
     """Log start, transition and emission probabilities from counts, add-half smoothed.
 
     A state may be followed by itself going on or by a turn's opening; only an opening
-    state may come first.
+    state may come first. Marker, blank line before and look are counted apart, so that a
+    marker tells the same wherever it stands; an unknown line before tells nothing.
     """
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
@@ -72,7 +76,10 @@ class Model:
         opening = np.arange(STATES) % 2 == 0
         norm = lambda x, ok: np.where(ok, np.log(np.where(ok, x + 0.5, 1) / np.where(ok, x + 0.5, 0).sum(-1, keepdims=True)), NEVER)
         self.start, self.move = norm(start, opening), norm(move, allowed)
-        self.emit = norm(emit, np.ones_like(emit, bool))
+        seen = emit.reshape(STATES, 4, 3, LOOKS)
+        marker, before, look = (norm(x, np.ones_like(x, bool)) for x in (seen.sum((2, 3)), seen[:, :, :2].sum((1, 3)), seen.sum((1, 2))))
+        before = np.concatenate([before, np.zeros((STATES, 1))], 1)
+        self.emit = (marker[:, :, None, None] + before[:, None, :, None] + look[:, None, None, :]).reshape(STATES, SYMBOLS)
 
 
 def matrix(model: Model, obs: np.ndarray, m: np.ndarray | None) -> np.ndarray:
@@ -116,12 +123,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
     for (_, seg), rows in _groups(batches, 2):
-        last = None
+        last, before = None, 2
         for _, text, role in rows:
+            obs, before = observe(text, before).tolist(), int(not text.rpartition("\n")[2].strip())
             if role not in ROLES:
                 last = None
                 continue
-            for i, o in enumerate(observe(text).tolist()):
+            for i, o in enumerate(obs):
                 s = 2 * ROLES.index(role) + (i > 0)
                 emit[s, o] += 1
                 if last is not None:
@@ -162,20 +170,20 @@ def _border_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
-    turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string()), ("opens", pa.bool_())]))
+    turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string()), ("opens", pa.bool_()), ("line", pa.int64()), ("n_lines", pa.int64())]))
     for (_, _, entry, exit_), rows in _groups(batches, 4):
         obs = [observe(t) for _, t, _ in rows]
         states = viterbi(model.value, np.concatenate(obs), entry, exit_)
         at, out = 0, []
         for (_, text, row), o in zip(rows, obs, strict=True):
             turns: list[dict] = []
-            for line, s in zip(text.split("\n"), states[at : at + len(o)], strict=True):
+            for i, (line, s) in enumerate(zip(text.split("\n"), states[at : at + len(o)], strict=True)):
                 opens = s % 2 == 0
                 if opens or not turns:
-                    turns.append({"role": ROLES[s // 2], "text": [], "opens": opens})
+                    turns.append({"role": ROLES[s // 2], "text": [], "opens": opens, "line": i})
                 turns[-1]["text"].append(split_marker(line)[1] if opens else line)
             at += len(o)
-            out.append((row, [t | {"text": "\n".join(t["text"]).strip("\n")} for t in turns]))
+            out.append((row, [t | {"text": "\n".join(t["text"]).strip("\n"), "n_lines": len(t["text"])} for t in turns]))
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([t for _, t in out], turn)], ["chat_row", "turns"])
 
 
@@ -194,7 +202,8 @@ def _pieces(rows: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
 
 
 def fit(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> Model:
-    """Count the model on labelled pieces, one turn a row; other roles and null are passed over."""
+    """Count the model on transcripts given as labelled turns, one a row, that follow each other
+    line by line; other roles and null are passed over."""
     pieces = _pieces(rows.withColumn("role", F.col(role)), conv, turn, text)
     counts = _ordered(pieces, "turn", "text", "role").mapInArrow(_learn_batches, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(STATES + STATES * STATES + STATES * SYMBOLS)
@@ -205,10 +214,12 @@ def fit(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str =
 
 
 def parse(rows: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Add ``turns``: the piece's (role, text without marker, opens) in order.
+    """Add ``turns``: the piece's (role, text without marker, opens, first line in
+    the piece, lines) in order.
 
-    A row is a piece of a transcript, in the order of ``turn`` (null: 0; ties by text); a
-    piece that goes on with the turn before has a first element that does not open one.
+    A row is a piece of a transcript, whole lines of any number of turns, in the order of
+    ``turn`` (null: 0; ties by text); a piece that goes on with the turn before has a first
+    element that does not open one. Where pieces end is not taken as a sign of a turn.
     Null text is an empty piece; a null conversation is one of its own, as the empty name;
     repeated rows are pieces each; other columns stay, ``turns`` is replaced; an empty
     table gives an empty result.
@@ -225,10 +236,36 @@ def parse(rows: DataFrame, model: Model, conv: str = "conv_id", turn: str = "tur
     joined = pieces.join(borders, ["conv", "seg"]).sortWithinPartitions("conv", "seg", "turn", "text", "chat_row")
     joined = joined.select("conv", "seg", "turn", "text", "chat_row", "entry", "exit")
     joined = joined.repartition("conv", "seg").sortWithinPartitions("conv", "seg", "turn", "text", "chat_row").select("conv", "seg", "entry", "exit", "turn", "text", "chat_row")
-    turns = joined.mapInArrow(partial(_decode_batches, model=sent), "chat_row long, turns array<struct<role:string,text:string,opens:boolean>>")
+    turns = joined.mapInArrow(partial(_decode_batches, model=sent), "chat_row long, turns array<struct<role:string,text:string,opens:boolean,line:long,n_lines:long>>")
     return base.join(turns, "chat_row", "left").drop("chat_row")
 
 
+def transcripts(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
+    """Turns joined line by line and cut into pieces of ``LINES`` lines, wherever turns end:
+    conversation, ``piece``, ``text`` and ``truth``, for each line twice its role's place in
+    ``ROLES`` (-1: another or null), plus one unless the line opens its turn.
+
+    Turns follow in the order of ``turn`` (null: 0; ties by text and role); null text is an
+    empty line; a null conversation is the empty name's; repeated rows are turns each.
+    """
+    place = F.coalesce(*[F.when(F.col("role") == r, i) for i, r in enumerate(ROLES)], F.lit(-1))
+    turns = _pieces(rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(text).alias("text"), F.col(role).alias("role")), "conv_id", "turn", "text")
+    turns = turns.withColumns({"place": place, "lines": F.split("text", "\n", -1)}).withColumn("n", F.size("lines").cast("long"))
+    before = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    sums = turns.groupBy("conv", "seg").agg(F.sum("n").alias("n"))  # a row for many turns
+    sums = sums.select("conv", "seg", F.coalesce(F.sum("n").over(before("conv").orderBy("seg")), F.lit(0)).alias("seg_at"))
+    turns = turns.withColumn("at", F.coalesce(F.sum("n").over(before("conv", "seg").orderBy("turn", "text", "role")), F.lit(0)))
+    turns = turns.join(sums, ["conv", "seg"]).withColumn("at", F.col("at") + F.col("seg_at"))
+    cut = turns.withColumn("piece", F.explode(F.expr(f"sequence(at div {LINES}, (at + n - 1) div {LINES})")))
+    cut = cut.withColumns({"from": F.expr(f"greatest(at, piece * {LINES})"), "to": F.expr(f"least(at + n, (piece + 1) * {LINES})")})
+    opens = F.col("from") == F.col("at")
+    length = (F.col("to") - F.col("from")).cast("int")
+    truth = F.concat(F.array(F.col("place") * 2 + F.when(opens, 0).otherwise(1)), F.array_repeat(F.col("place") * 2 + 1, length - 1))
+    part = F.struct("from", F.array_join(F.slice("lines", (F.col("from") - F.col("at") + 1).cast("int"), length), "\n").alias("text"), truth.alias("truth"))
+    parts = cut.groupBy("conv", "piece").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(part)).alias("parts"))  # LINES parts at most
+    return parts.select("conv_id", "piece", F.array_join(F.col("parts.text"), "\n").alias("text"), F.flatten(F.col("parts.truth")).alias("truth"))
+
+
 def render(turns: Column) -> Column:
     """Canonical text of an array of turns."""
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n"))), "")

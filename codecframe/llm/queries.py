@@ -53,12 +53,28 @@ def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of all conversations' turns, read from transcripts with and without markers."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("true_role"), "text")
-    rows = rows.withColumns({"held_out": langid.fold(F.col("conv_id"), 4) == 2, "text": chat.mark(F.col("conv_id"), F.col("turn"), F.col("true_role"), F.col("text"))})
-    model = chat.fit(rows.where(~F.col("held_out")), role="true_role")
-    out = chat.parse(rows.drop("true_role"), model)
-    return out.select("conv_id", "turn", "held_out", F.col("turns")[0]["role"].alias("role_pred"), F.size("turns").cast("long").alias("n_turns"), F.sha2(chat.render(F.col("turns")).cast("binary"), 256).alias("rendered_sha256"))
+    """Turns and roles of all conversations, read from transcripts cut at any line.
+
+    Some turns have no marker, and half of the conversations no blank line between turns.
+    One row for each turn, or part of one, found in a piece: ``n_lines`` from ``line`` on,
+    how many of these have the true role, whether the first truly opens a turn, and how
+    many true openings among the others were missed.
+    """
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    gap = F.when(F.pmod(F.xxhash64(F.lit(1), "conv_id"), F.lit(2)) == 0, "\n").otherwise("")
+    rows = rows.withColumn("text", F.concat(chat.mark(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")), gap))
+    held_out = langid.fold(F.col("conv_id"), 4) == 2
+    model = chat.fit(rows.where(~held_out))
+    out = chat.parse(chat.transcripts(rows), model, turn="piece").select("conv_id", "piece", "truth", F.explode("turns").alias("t"))
+    of = F.slice("truth", (F.col("t.line") + 1).cast("int"), F.col("t.n_lines").cast("int"))
+    place = F.array_position(F.array(*map(F.lit, chat.ROLES)), F.col("t.role")) - 1
+    return out.withColumns({"held_out": held_out, "of": of, "place": place}).select(
+        "conv_id", "piece", "t.line", "t.n_lines", "held_out", F.col("t.role").alias("role_pred"), "t.opens",
+        (F.col("of")[0] % 2 == 0).alias("opens_true"),
+        F.size(F.filter("of", lambda x: F.floor(x / 2) == F.col("place"))).cast("long").alias("lines_right"),
+        (F.size(F.filter("of", lambda x: x % 2 == 0)) - (F.col("of")[0] % 2 == 0).cast("int")).cast("long").alias("openings_missed"),
+        F.sha2(chat.render(F.array("t")).cast("binary"), 256).alias("rendered_sha256"),
+    )
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,36 @@ def test_chat_segments_agree_with_one_chain(spark, monkeypatch):
     assert sum(r["turns"][0]["role"] == r["role"] for r in whole.values()) >= 0.97 * len(rows)
 
 
+def test_chat_finds_turns_in_pieces_cut_anywhere(spark, monkeypatch):
+    r = random.Random(6)
+    roles = ["system", *["user", "assistant"] * 6]
+    rows = [(c, t, roles[t], "\n".join(prose(6, r) for _ in range(r.randint(1, 5)))) for c in range(40) for t in range(13)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = turns.withColumn("text", F.concat(F.initcap("role"), F.lit(": "), "text"))
+    lines, want = {}, {}
+    for x in turns.orderBy("conv_id", "turn").collect():
+        for i, line in enumerate(x["text"].split("\n")):
+            lines.setdefault(x["conv_id"], []).append(line)
+            want.setdefault(x["conv_id"], []).append(2 * chat.ROLES.index(x["role"]) + (i > 0))
+    monkeypatch.setattr(chat, "SEGMENT", 4)
+    pieces = chat.transcripts(turns)
+    got = {}
+    for x in pieces.orderBy("conv_id", "piece").collect():
+        assert len(x["truth"]) == x["text"].count("\n") + 1 <= chat.LINES
+        got.setdefault(x["conv_id"], []).append(x)
+    assert {c: "\n".join(x["text"] for x in xs) for c, xs in got.items()} == {c: "\n".join(x) for c, x in lines.items()}
+    assert {c: sum((x["truth"] for x in xs), []) for c, xs in got.items()} == want
+    assert any(x["truth"][0] % 2 for xs in got.values() for x in xs)
+    model = chat.fit(turns)
+    found = {}
+    for x in chat.parse(pieces, model, turn="piece").orderBy("conv_id", "piece").collect():
+        assert [t["line"] for t in x["turns"]] == [sum(t["n_lines"] for t in x["turns"][:i]) for i in range(len(x["turns"]))]
+        for t in x["turns"]:
+            s = 2 * chat.ROLES.index(t["role"])
+            found.setdefault(x["conv_id"], []).extend([s + (not t["opens"]), *[s + 1] * (t["n_lines"] - 1)])
+    assert found == want
+
+
 def test_line_dedup_and_mix(spark):
     rows = [(1, "Shared line here\nown one is long"), (2, " shared LINE here \nshort\nshort"), (3, None), (4, "")]
     got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
