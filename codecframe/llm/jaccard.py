@@ -340,8 +340,19 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     the same text are one node; a document without identifier never names a component
     that has another; extra columns are ignored; an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sets, names = _named(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, percent)
+    return _with_names(sets, names).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _with_names(sets: DataFrame, names: DataFrame) -> DataFrame:
+    out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(names.select("node", "component_id"), "node", "left")
+    return out.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _named(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row's set, and for the nodes in components of several rows: ``label``, and the
+    component's smallest identifier with the first node of that."""
+    docs, scratch = rows, Scratch(rows.sparkSession, "jaccard")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(rows, k))  # 2^SKETCH_BITS numbers
     sets = scratch.table(rows.mapInArrow(partial(sign_batches, k=k, percent=percent, sketch=sketch), f"doc_id {id_type}, n long, node long, sigs array<long>, hot array<boolean>"), "sets")
@@ -350,7 +361,40 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     members = scratch.table(classes.join(blobs.withColumnRenamed("label", "blob"), "node").select("node", "blob", F.col("first_id").alias("member_id")), "members")
     connected = components(exact_links(rows, members, k, percent, scratch), scratch)
     groups = scratch.table(classes.join(connected, "node", "left").withColumn("label", F.coalesce("label", "node")), "groups")
-    named = groups.join(groups.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("all")), "label")
-    names = scratch.table(named.where(F.col("all") > 1).select("node", "component_id"), "names")
-    out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(names, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.struct(F.col("first_id").isNull(), "first_id", "node")
+    named = groups.join(groups.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min_by("node", first).alias("first_node"), F.sum("copies").alias("all")), "label")
+    return sets, scratch.table(named.where(F.col("all") > 1).select("node", "label", "component_id", "first_node"), "names")
+
+
+def node_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Replace the text, the last column, by its set's node; null for an empty set."""
+    for batch in batches:
+        nodes = [set_digest(ts.mix(s)) if len(s) else None for s in shingle_sets(batch.column(batch.num_columns - 1), k)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(nodes, pa.int64())], [*batch.schema.names[:-1], "node"])
+
+
+def first_documents(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row, all columns, of each component of ``near_components``: that of the smallest
+    identifier.
+
+    Of rows that repeat this identifier, with equal or linked texts, the one with the
+    first set and then the first as JSON stays; of rows without identifier the same, if
+    no row of the component has one. An identifier that repeats in several components is
+    judged in each. Texts without words are each a component, so all of their rows stay.
+    """
+    sets, names = _named(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, percent)
+    repeated = sets.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("repeated_id"))
+    repeated = Scratch(docs.sparkSession, "jaccard").table(repeated, "repeated")
+    first = _with_names(sets, names).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    first = first.join(repeated, F.col("first_id").eqNullSafe(F.col("repeated_id")), "left_anti")
+    out = docs.join(first, F.col(doc_id).eqNullSafe(F.col("first_id")), "left_semi")
+    if repeated.isEmpty():
+        return out
+    of = docs.join(repeated, F.col(doc_id).eqNullSafe(F.col("repeated_id")), "left_semi")
+    row = of.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = row.mapInArrow(partial(node_batches, k=k), f"row {row.schema['row'].dataType.simpleString()}, id {row.schema['id'].dataType.simpleString()}, node long")
+    rows = rows.join(names, "node", "left")
+    alone = rows.where("label is null").select("row.*")
+    chosen = rows.where("label is not null and node = first_node and id <=> component_id")
+    chosen = chosen.groupBy("label").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return out.unionAll(alone).unionAll(chosen)

@@ -65,6 +65,28 @@ def test_jaccard_matches_brute_force(table, request):
         assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_near_duplicates_keeps_one_row_a_component(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    a, b, c, d, e, f = (prose(60, r) for _ in range(6))
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    rows = [(1, a), (1, a), (1, near(a)), (2, a)]  # a repeated row, and its identifier with a linked text
+    rows += [(None, b), (None, b), (None, near(b))]  # no identifier at all
+    rows += [(None, c), (3, c), (4, near(c))]  # a copy without identifier
+    rows += [(None, d)]  # alone
+    rows += [(5, e), (6, e), (6, f), (6, f)]  # one identifier in two components
+    rows += [(7, ""), (7, ""), (None, None)]  # no words: each a component
+    docs = spark.createDataFrame([(i, t, None, None, n) for n, (i, t) in enumerate(rows)], DOCS)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    again = corpus_pipeline.near_duplicates(spark, docs.repartition(3, "n_chars"), "").collect()
+    assert sorted(got, key=str) == sorted(again, key=str) and got[0].__fields__ == docs.columns
+    kept = sorted(((x["doc_id"], x["text"]) for x in got), key=str)
+    firsts = [x for x in kept if x[1] in (a, near(a))], [x for x in kept if x[1] in (b, near(b))]
+    assert [len(x) for x in firsts] == [1, 1] and firsts[0][0][0] == 1 and firsts[1][0][0] is None
+    assert [x for x in kept if x not in firsts[0] + firsts[1]] == sorted([(3, c), (None, d), (5, e), (6, f), (7, ""), (7, ""), (None, None)], key=str)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_candidates_connect_the_nodes_of_a_shingle(spark, hot):
     rows = [(n, 1, [s for s in range(6) if (n * 7 + s) % 5 == 0] + [100 + n // 10], n) for n in range(40)]
