@@ -133,12 +133,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     """Fit on the rows with text and language.
 
     Document frequencies are over all of them. The weights are fitted on about
-    ``per_language`` texts (whole) of each of the ``most_languages`` most frequent
+    ``per_language`` distinct texts (whole) of each of the ``most_languages`` most frequent
     languages, chosen by hash of the text; one in five of these sets the temperature.
-    Repeated rows are chosen together. Without any row the model answers ``und``.
+    Copies of a text count once in the sample. Without any row the model answers ``und``.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    h = F.xxhash64(F.lit(11), "text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(h).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0), np.float32), 1.0)
@@ -147,9 +148,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
-    h = F.xxhash64(F.lit(11), "text")
     wanted = rows.where(F.pmod(h, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    sample = wanted.select(h.alias("h"), "lang", "text").mapInArrow(_count_batches, "h long, lang string, at array<int>, n array<int>").collect()
+    once = wanted.select(h.alias("h"), "lang", "text").groupBy("h", "lang", "text").agg(F.lit(1)).select("h", "lang", "text")
+    sample = once.mapInArrow(_count_batches, "h long, lang string, at array<int>, n array<int>").collect()
     data = []
     for r in sorted(sample, key=lambda r: (r["h"], r["lang"])):
         at, v = np.array(r["at"], np.int64), np.log1p(np.array(r["n"], float))

@@ -181,6 +181,20 @@ def test_language_id(spark):
     assert langid.identify(df, langid.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_samples_distinct_texts(spark, monkeypatch):
+    sizes = []
+    train = langid.train_ftrl
+    monkeypatch.setattr(langid, "train_ftrl", lambda rows, classes: sizes.append([y for *_, y in rows]) or train(rows, classes))
+    r = random.Random(2)
+    texts = [prose(12, r) for _ in range(60)]
+    for copied in texts[:4]:
+        rows = [(t, "x") for t in texts] + [(copied, "x")] * 3000 + [(t.upper() + " q", "y") for t in texts]
+        langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=1000)
+        langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=30)
+    for whole, part in zip(sizes[::2], sizes[1::2], strict=True):
+        assert len(whole) == 96 and all(12 <= part.count(y) <= 36 for y in (0, 1))
+
+
 def test_resample(spark, docs):
     df = docs.select("doc_id", "text")
     ratio = resample.fit(df.select("text", (F.col("doc_id") < 6).alias("wanted")))
