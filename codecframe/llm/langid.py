@@ -133,13 +133,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     """Fit on the rows with text and language.
 
     Document frequencies are over all of them. The weights are fitted on about
-    ``per_language`` distinct texts (whole) of each of the ``most_languages`` most frequent
-    languages, chosen by hash of the text; one in five of these sets the temperature.
-    Copies of a text count once in the sample. Without any row the model answers ``und``.
+    ``per_language`` distinct texts (whole) of each language, chosen by hash of the text;
+    one in five of these sets the temperature. Copies of a text count once in the sample.
+    The model's size grows with the languages: more than ``most_languages`` are an error,
+    none is left out. Without any row the model answers ``und``.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     h = F.xxhash64(F.lit(11), "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(h).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(h).alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise most_languages, the weights take {8 * (BUCKETS + 1)} bytes a language, several times in fitting")
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0), np.float32), 1.0)

@@ -195,6 +195,13 @@ def test_language_id_samples_distinct_texts(spark, monkeypatch):
         assert len(whole) == 96 and all(12 <= part.count(y) <= 36 for y in (0, 1))
 
 
+def test_language_id_drops_no_label(spark):
+    df = spark.createDataFrame([(c * 9, c) for c in "abcd"] + [("d" * 8, "d")], "text string, lang string")
+    assert langid.fit(df, most_languages=4).languages == list("abcd")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        langid.fit(df, most_languages=3)
+
+
 def test_resample(spark, docs):
     df = docs.select("doc_id", "text")
     ratio = resample.fit(df.select("text", (F.col("doc_id") < 6).alias("wanted")))
