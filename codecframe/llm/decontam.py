@@ -21,9 +21,11 @@ from codecframe.llm import textscan as ts
 from codecframe.llm.store import Scratch
 
 U = np.uint64
-#: Masks by tokens of the window; "1" positions are hashed. Those of 5 to 9 tokens stand
+#: Masks by tokens of the window; "1" positions are hashed. Windows of 1 to 4 tokens must
+#: agree whole. The masks of 5 to 9 tokens stand
 #: one substitution anywhere, those of 10 to 13 two, as many as ``AGREE`` accepts.
 MASKS = {
+    **{n: ("1" * n,) for n in range(1, 5)},
     5: ("1111", "10111", "11011", "11101"),
     6: ("11111", "101111", "110111", "111011", "111101"),
     7: ("11111", "110111", "1111001"),
@@ -36,8 +38,10 @@ MASKS = {
 }
 #: Tokens of a verified window, and the share of them that must agree.
 WINDOW, AGREE = 13, 0.8
-#: Test texts of fewer tokens match nothing.
-LEAST_TOKENS = 5
+#: Code points of scripts without spaces, each a token: South East Asian scripts, kana, Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+#: Code points of their punctuation, read as space.
+POINTS = ((0x3000, 0x3004), (0x3008, 0x301F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
 #: Tokens of a piece of a test text, those that neighbouring pieces share, and of a block.
 PIECE, OVERLAP, BLOCK_TOKENS = 4096, 64, 2_000_000
 #: Seed matches expanded at a time.
@@ -49,10 +53,40 @@ _table[[c for c in range(128) if not chr(c).isalnum()]] = 32
 _weights = ts.mix(np.arange(1, WINDOW + 1, dtype=U) * U(ts.BASE)) | U(1)
 
 
+def _within(points: np.ndarray, ranges: tuple) -> np.ndarray:
+    out = np.zeros(len(points), bool)
+    for low, high in ranges:
+        out |= (points >= low) & (points <= high)
+    return out
+
+
+def spaced(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 texts with a space on both sides of characters of unspaced scripts, and for
+    their punctuation."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return data, off
+    width = np.where(data[lead] >= 0xF0, 4, 3)
+    wide = data[np.minimum(lead[:, None] + np.arange(4), len(data) - 1)].astype(np.int64) & 63
+    points = np.where(width == 3, (wide[:, 0] & 15) << 12 | wide[:, 1] << 6 | wide[:, 2], (wide[:, 0] & 7) << 18 | wide[:, 1] << 12 | wide[:, 2] << 6 | wide[:, 3])
+    blank, alone = _within(points, POINTS), _within(points, UNSPACED)
+    if blank.any():
+        data = data.copy()
+        at = lead[blank]
+        data[at] = data[at + 1] = data[at + 2] = 32
+    if not alone.any():
+        return data, off
+    # before each character, and after it unless another one follows
+    first, last = lead[alone], (lead + width)[alone]
+    cut = np.union1d(first, last[last < len(data)])
+    return np.insert(data, cut, 32), off + np.searchsorted(cut, off)
+
+
 def token_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Each text's token hashes: A-Z lower-cased, ASCII punctuation read as space."""
+    """Each text's token hashes: A-Z lower-cased, ASCII punctuation read as space, each
+    character of an unspaced script a token."""
     for _, _, data, off in ts.slices(texts):
-        h, first = ts.word_hashes(_table[data], off)
+        h, first = ts.word_hashes(*spaced(_table[data], off))
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             yield h[a:b]
 
@@ -76,7 +110,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids, toks = [], []
         for i, h in zip(batch.column(0).to_pylist(), token_hashes(batch.column(1)), strict=True):
             for at in range(0, max(1, len(h) - OVERLAP), PIECE - OVERLAP):
-                if len(h) >= LEAST_TOKENS:
+                if len(h):
                     ids.append(i)
                     toks.append(h[at : at + PIECE].view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(toks, pa.list_(pa.int64()))], ["item", "tokens"])
@@ -193,8 +227,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, text: str = "text", doc_id: str
     ``item_id``, ``n_agree`` (tokens of the best window) and ``doc_token`` (its place).
 
     A window is ``WINDOW`` aligned tokens (all, if the test text has fewer), of which
-    ``AGREE`` agree; every such window is found. Null or empty texts and test texts of fewer than ``LEAST_TOKENS``
-    tokens match nothing; repeated rows give repeated results; repeated test texts each
+    ``AGREE`` agree; every such window is found. So a test text of 1 to 4 tokens matches
+    wherever all of it stands. Null texts and those without tokens match nothing; repeated rows give repeated results; repeated test texts each
     match; extra columns are ignored; an empty table on either side gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -129,6 +129,16 @@ def test_decontam_reaches_every_accepted_substitution():
                 assert index.hit(doc) == bool(got)
 
 
+def test_decontam_finds_short_and_unspaced_items(spark):
+    items = ["one two", "Solitaire!", "中文测试题目没有空格。", "ประเทศไทย", "東京タワーは高い", "𠀀𠀁𠀂", "!!", "a é ß q"]
+    docs = ["say One, TWO now", "two one", "SOLITAIRE", "前面" + items[2] + "后面", "前中文测试题改没有空格后", "xx" + items[3] + "yy", "東京タワーは低い", "東京タワー", "z𠀀𠀁𠀂z", "𠀀𠀂", "?? !!", "A é ß Q.", "é ß q", "中文", None]
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    want = {(0, 0), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (8, 5), (11, 7)}
+    assert {(x["doc_id"], x["item_id"]) for x in decontam.overlaps(table, tests).collect()} == want
+    assert {x["doc_id"] for x in decontam.decontaminate(table, tests).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
 def test_lattice_forward_sums_all_segmentations(docs):
     p = lattice.Pieces({lattice.WORD_START: math.log(0.5), lattice.WORD_START + "a": math.log(0.5), "a": math.log(0.3), "ab": math.log(0.2), "b": math.log(0.2), lattice.WORD_END: math.log(0.3)}, [-9.0] * 256)
     text = lattice.WORD_START + "aab" + lattice.WORD_END
