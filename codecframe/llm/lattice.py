@@ -306,7 +306,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], frequent: object, n: int,
             at = np.minimum(np.searchsorted(f.h, h), max(0, len(f.h) - 1))
             hit = f.h[at] == h if len(f.h) else np.zeros(len(h), bool)
             k, of = at[hit], doc[hit]
-            sums = [np.bincount(of, x[k], j - i) for x in (f.c > 0, base, f.logp)]
+            sums = [np.bincount(of, x[k], j - i).astype(float) for x in (f.c > 0, base, f.logp)]
             rare, of = h[~hit].view(np.int64), doc[~hit]
             order = np.lexsort((rare, of))
             rare, of = rare[order], of[order]

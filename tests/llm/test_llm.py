@@ -5,10 +5,12 @@ import re
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codecframe.llm import chat, decontam, fingerprint, jaccard, langid, lattice, linededup, mixing, resample, warc
+from codecframe.llm import textscan as ts
 from codecframe.llm.store import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -24,6 +26,11 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
+def _buffer(tokens):
+    data = np.frombuffer(" ".join(tokens).encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     r = random.Random(5)
@@ -139,32 +146,89 @@ def test_decontam_finds_short_and_unspaced_items(spark):
     assert {x["doc_id"] for x in decontam.decontaminate(table, tests).collect()} == set(range(len(docs))) - {d for d, _ in want}
 
 
-def test_lattice_forward_sums_all_segmentations(docs):
-    p = lattice.Pieces({lattice.WORD_START: math.log(0.5), lattice.WORD_START + "a": math.log(0.5), "a": math.log(0.3), "ab": math.log(0.2), "b": math.log(0.2), lattice.WORD_END: math.log(0.3)}, [-9.0] * 256)
-    text = lattice.WORD_START + "aab" + lattice.WORD_END
-    total = 0.0
+def spellings(p, word):
+    """Log probability of a word, by enumeration of all segmentations."""
+    text = lattice.WORD_START + word + lattice.WORD_END
+    logp, total = dict(zip(p.texts, p.logp)), 0.0
     for cuts in product([0, 1], repeat=len(text) - 1):
         at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(text)]
-        pieces = [text[a:b] for a, b in zip(at, at[1:])]
-        value = [p.logp.get(x) for x in pieces]
-        if None not in value:
-            total += math.exp(sum(value))
-    # characters are also spelt as bytes, at e^-9 each
-    assert math.exp(p.marginal("aab")) == pytest.approx(total, rel=1e-2)
-
-
-def test_lattice_base_counts(docs):
-    out = lattice.score(docs.select("doc_id", "text"), F.col("doc_id") % 3 != 0, "/opt/tokenizers/piece_bpe_32k.model").collect()
-    rows, count, ends = docs.collect(), {}, 0
+        prob = 1.0
+        for a, b in zip(at, at[1:]):
+            x = math.exp(logp[text[a:b]]) if text[a:b] in logp and (a == 0) == text[a:b].startswith(lattice.WORD_START) else 0.0
+            if b == a + 1 and 0 < a < len(text) - 1:
+                x += math.exp(sum(p.byte_logp[c] for c in text[a].encode()))
+            prob *= x
+        total += prob
+    return math.log(total)
+
+
+@pytest.fixture
+def pieces():
+    start = lattice.WORD_START
+    few = {start: 0.5, start + "a": 0.5, "a": 0.2, "ab": 0.15, "aab": 0.05, "b": 0.2, "é": 0.1, lattice.WORD_END: 0.2}
+    return lattice.Pieces({k: math.log(v) for k, v in few.items()}, [math.log(0.1 / 256)] * 256)
+
+
+WORDS = ["aab", "b", "aabaabab", "éa", "x", "a" + lattice.WORD_START + "a", "abéü𠀀b", "aaaaaaaaa", "aab", ""]
+
+
+@pytest.mark.parametrize("cells", [lattice.CELLS, 8])
+def test_lattice_sums_all_segmentations(pieces, monkeypatch, cells):
+    monkeypatch.setattr(lattice, "CELLS", cells)
+    got = pieces.marginals(pa.array(WORDS))
+    assert got == pytest.approx([spellings(pieces, w) for w in WORDS])
+    # expected uses are the derivatives of the log marginals
+    uses, spelt = pieces.expected(pa.array(WORDS))
+    for k in range(len(pieces.texts)):
+        moved = lattice.Pieces(dict(zip(pieces.texts, pieces.logp + 1e-6 * (np.arange(len(pieces.texts)) == k))), pieces.byte_logp)
+        assert uses[k] == pytest.approx((moved.marginals(pa.array(WORDS)) - got).sum() / 1e-6, abs=1e-4)
+    moved = lattice.Pieces(dict(zip(pieces.texts, pieces.logp)), pieces.byte_logp + 1e-6)
+    assert spelt.sum() == pytest.approx((moved.marginals(pa.array(WORDS)) - got).sum() / 1e-6, abs=1e-4)
+    again = pieces.refit(uses, spelt)
+    assert again.marginals(pa.array(WORDS)).sum() > got.sum()
+    assert np.exp(again.logp[again.opens]).sum() == pytest.approx(1)
+    assert np.exp(again.logp[~again.opens]).sum() + np.exp(again.byte_logp).sum() == pytest.approx(1)
+
+
+def test_lattice_takes_a_very_long_word(pieces):
+    word = "ab" * 60_000
+    half = spellings(pieces, "ab" * 5), spellings(pieces, "ab" * 6)
+    assert pieces.marginal(word) == pytest.approx(half[0] + (half[1] - half[0]) * (60_000 - 5), rel=1e-3)
+
+
+@pytest.mark.parametrize("learn, frequent", [("doc_id % 3 <> 0", 20), ("false", lattice.FREQUENT), ("true", lattice.FREQUENT)])
+def test_lattice_scores_match_brute_force(docs, monkeypatch, frequent, learn):
+    monkeypatch.setattr(lattice, "FREQUENT", frequent)
+    model = "/opt/tokenizers/piece_bpe_32k.model"
+    table = docs.select("doc_id", "text").withColumn("learn", F.expr(learn))
+    out = {r["doc_id"]: r for r in lattice.score(table, F.col("learn"), model, steps=1).collect()}
+    rows, count, ends = table.collect(), {}, 0
     for r in rows:
-        if r["doc_id"] % 3:
-            ends += 1
-            for w in words(r["text"]):
-                count[w] = count.get(w, 0) + 1
-    n, v = sum(count.values()) + ends, len(count) + 1
-    want = {r["doc_id"]: sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in words(r["text"])) + math.log10((ends + 1) / (n + v + 1)) for r in rows}
-    for r in out:
-        assert r["train_tokens"] == n and r["base_score"] == pytest.approx(want[r["doc_id"]]) and -1e9 < r["score"] < 0
+        ends += r["learn"]
+        for w in words(r["text"]) if r["learn"] else ():
+            count[w] = count.get(w, 0) + 1
+    n, v, total = sum(count.values()) + ends, len(count) + (ends > 0), sum(count.values())
+    pieces = lattice.load_pieces(model)
+    if count:
+        pieces = pieces.refit(*pieces.expected(pa.array(list(count))))
+    known = sorted(set().union(*[words(r["text"]) for r in rows]))
+    sub = dict(zip(known, pieces.marginals(pa.array(known))))
+    off = lattice.discounts([list(count.values()).count(k) for k in (1, 2, 3, 4)])
+    of = lambda c: off[min(c, 3) - 1]
+    freed = sum(of(c) for c in count.values()) / total if total else 1.0
+
+    def log_p(w):
+        c = count.get(w, 0)
+        return math.log10(((c - of(c)) / total if c else 0.0) + freed * math.exp(sub[w])) + math.log10((total + 1) / (n + 2))
+
+    assert sum(10 ** log_p(w) for w in count) + 10 ** math.log10((ends + 1) / (n + 2)) <= 1 + 1e-9
+    for r in rows:
+        w, got = words(r["text"]), out[r["doc_id"]]
+        base = sum(math.log10((count.get(x, 0) + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
+        assert (got["n_tokens"], got["n_known"], got["train_tokens"]) == (len(w) + 1, sum(x in count for x in w) + (ends > 0), n)
+        assert got["base_score"] == pytest.approx(base)
+        if all(len(x) < 1000 for x in w):
+            assert got["score"] == pytest.approx(sum(map(log_p, w)) + math.log10((ends + 1) / (n + 2)))
 
 
 def test_fingerprints_follow_the_contract(docs):
@@ -212,16 +276,43 @@ def test_language_id_drops_no_label(spark):
         langid.fit(df, most_languages=3)
 
 
-def test_resample(spark, docs):
+def test_resample_matches_brute_force(spark, docs):
     df = docs.select("doc_id", "text")
-    ratio = resample.fit(df.select("text", (F.col("doc_id") < 6).alias("wanted")))
-    got = resample.resample(df, ratio, 9)
-    full = resample.resample(df, ratio, 999)
-    best = {r["doc_id"] for r in full.orderBy(F.desc("gumbel_key")).limit(9).collect()}
-    assert full.count() == df.count() and {r["doc_id"] for r in got.collect()} == best
+    wanted = spark.createDataFrame([(i,) for i in (0, 1, 2, 2, 3, 5, 999, None)], "id long")
+    chosen = resample.rows_of(df, wanted)
+    assert sorted(r["doc_id"] for r in chosen.collect()) == [0, 1, 2, 3, 5]
+    raw, target, texts = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS), {}
+    for r in df.collect():
+        w = words(re.sub(r"[\x00-\x7f]", lambda m: m.group() if m.group().isalnum() else " ", r["text"] or ""))
+        one = [int(h) for h in ts.word_hashes(*_buffer(w))[0]]
+        two = [int(ts.mix(np.array([(a * 3 + b) % 2**64], np.uint64))[0]) for a, b in zip(one, one[1:])]
+        texts[r["doc_id"]] = [h >> (64 - resample.BUCKET_BITS) for h in one + two]
+        for t in (raw, target) if r["doc_id"] in (0, 1, 2, 3, 5) else (raw,):
+            np.add.at(t, texts[r["doc_id"]], 1)
+    ratio = resample.fit(df, chosen)
+    scale = target.sum() / raw.sum()
+    assert np.allclose(ratio, [math.log((a + resample.PRIOR) / (b * scale + resample.PRIOR)) for a, b in zip(target, raw)])
+    full = {r["doc_id"]: r for r in resample.resample(df, ratio, 999).collect()}
+    assert len(full) == df.count()
+    for i, r in full.items():
+        assert r["log_weight"] == pytest.approx(sum(ratio[b] for b in texts[i]), abs=1e-9)
+    for k in (1, 9, 20):
+        best = sorted(full, key=lambda i: -full[i]["gumbel_key"])[:k]
+        assert {r["doc_id"] for r in resample.resample(df, ratio, k, keep=["doc_id"]).collect()} == set(best)
     assert resample.resample(df.limit(0), ratio, 3).count() == 0 == resample.resample(df, np.zeros(resample.BUCKETS), 0).count()
 
 
+def test_resample_keys_order_all_doubles(spark):
+    ratio = np.zeros(resample.BUCKETS)
+    rows = [(i, "w " * n) for i, n in enumerate((0, 1, 10, 1000, 50_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for value in (1e6, -1e6):  # weights far beyond any fixed range
+        keys = {r["doc_id"]: r["gumbel_key"] for r in resample.resample(df, ratio + value, 9).collect()}
+        for k in range(1, 5):
+            best = sorted(keys, key=lambda i: -keys[i])[:k]
+            assert sorted(r["doc_id"] for r in resample.resample(df, ratio + value, k).collect()) == sorted(best)
+
+
 def test_warc_round_trip(spark):
     big = "é" * 1_500_000
     rows = [(3, "u\r\nv", "p" * 100), (1, None, "p" * 100), (2, "w", "small"), (4, "w", "small"), (5, "w", None), (6, "w", big), (None, "w", "p" * 100)]
