@@ -37,13 +37,12 @@ def op5_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     It is as large a share of the documents as these are of the labelled ones.
     """
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    labels = labels.withColumn("wanted", (F.col("quality") == 1) & (F.col("toxic") == 0))
+    wanted = (F.col("quality") == 1) & (F.col("toxic") == 0)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = docs.join(labels.select("doc_id", "wanted"), "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    ratio = resample.fit(marked)
-    good, n = labels.agg(F.sum(F.col("wanted").cast("int")), F.count("*")).first()
-    k = round(docs.count() * good / n) if n and good is not None else 0
-    return resample.resample(docs, ratio, k).select("doc_id", "log_weight", "gumbel_key")
+    ratio = resample.fit(docs, resample.rows_of(docs, labels.where(wanted)))
+    good, n = labels.agg(F.count_if(wanted), F.count("*")).first()
+    k = round(docs.count() * good / n) if n else 0
+    return resample.resample(docs, ratio, k, keep=["doc_id"])
 
 
 def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

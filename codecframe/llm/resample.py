@@ -4,7 +4,8 @@ by Gumbel top-k.
 Unigrams and bigrams are hashed to buckets. A text's weight is the sum of its n-grams' log
 ratios; noise from a hash of the row makes the k largest a sample without replacement in
 proportion to the weights. The k-th largest is found by histograms over key bits, level by
-level, so nothing is sorted and no more than a bounded histogram reaches the driver.
+level, so nothing is sorted and no more than a bounded histogram reaches the driver. Texts
+are not shuffled: those of the target are found by a bitmap of fixed size before the join.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from codecframe.llm import textscan as ts
 from codecframe.llm.decontam import _table
+from codecframe.llm.rows import column, extended, packed, unpacked
 from codecframe.llm.store import Scratch
 
 U = np.uint64
@@ -27,50 +29,82 @@ BUCKETS = 1 << BUCKET_BITS
 #: Pseudo-count of each bucket in both models, at the scale of the target counts.
 PRIOR = 5.0
 LEVEL_BITS, LEVELS = 16, 4
+#: Bits of the bitmap of wanted identifiers, and those of one row of it (Spark's own size).
+FILTER_BITS, PAGE_BITS = 1 << 25, 1 << 15
 
 
-def grams(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Each text's buckets of word unigrams and bigrams (case kept out, ASCII punctuation too)."""
-    for _, _, data, off in ts.slices(texts):
+def grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, place of the text, bucket) of all word unigrams and bigrams, of slices of texts.
+
+    Case is kept out, ASCII punctuation too.
+    """
+    for i, j, data, off in ts.slices(texts):
         h, first = ts.word_hashes(_table[data], off)
-        two = ts.mix(h[:-1] * U(3) + h[1:]) if len(h) > 1 else np.zeros(0, U)
-        one, two = (h >> U(64 - BUCKET_BITS)).astype(np.int64), (two >> U(64 - BUCKET_BITS)).astype(np.int64)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            yield np.concatenate([one[a:b], two[a : max(a, b - 1)]])
+        of = np.repeat(np.arange(j - i), np.diff(first))
+        inside = of[1:] == of[:-1]
+        two = ts.mix(h[:-1] * U(3) + h[1:])[inside]
+        buckets = (np.concatenate([h, two]) >> U(64 - BUCKET_BITS)).astype(np.int64)
+        yield j - i, np.concatenate([of, of[:-1][inside]]), buckets
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for g, wanted in zip(grams(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            n = np.bincount(g, minlength=BUCKETS) if len(g) > BUCKETS // 8 else None
-            for t in (raw, target) if wanted else (raw,):
-                if n is None:
-                    np.add.at(t, g, 1)
-                else:
-                    t += n
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])], ["bucket", "target", "raw"])
-
-
-def fit(rows: DataFrame) -> np.ndarray:
-    """Log ratio of each bucket, from all rows (text, wanted); at most ``BUCKETS`` sums are collected."""
-    target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    counts = rows.select("text", "wanted").mapInArrow(_count_batches, "bucket long, target long, raw long")
-    for r in counts.groupBy("bucket").agg(F.sum("target").alias("t"), F.sum("raw").alias("r")).collect():
-        target[r["bucket"]], raw[r["bucket"]] = r["t"], r["r"]
-    scale = target.sum() / raw.sum() if raw.sum() else 0.0
-    return np.log((target + PRIOR) / (raw * scale + PRIOR))
+        for _, _, buckets in grams(batch.column(0)):
+            total += np.bincount(buckets, minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+
+def gram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Occurrences of each bucket in all texts; at most ``BUCKETS`` sums are collected."""
+    out = np.zeros(BUCKETS)
+    sums = docs.select(column(text)).mapInArrow(_count_batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+def fit(raw: DataFrame, target: DataFrame, text: str = "text") -> np.ndarray:
+    """Log ratio of each bucket, from all texts of both. Null texts have no words."""
+    of_raw, of_target = gram_counts(raw, text), gram_counts(target, text)
+    scale = of_target.sum() / of_raw.sum() if of_raw.sum() else 0.0
+    return np.log((of_target + PRIOR) / (of_raw * scale + PRIOR))
+
+
+def rows_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, whose identifier ``wanted`` has in its first column.
+
+    A bitmap of the wanted identifiers' hashes, of fixed size, is sent out first. Only
+    rows that it lets through are shuffled to meet the identifiers themselves, whatever
+    the size of either side. A null identifier is in none; a repeated one changes nothing.
+    """
+    scratch = Scratch(docs.sparkSession, "rows")
+    ids = scratch.table(wanted.select(F.col(wanted.columns[0]).alias("wanted_id")).where("wanted_id is not null").distinct(), "ids")
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    page = ids.select(spot(F.col("wanted_id")).alias("at")).groupBy(F.floor(F.col("at") / PAGE_BITS).alias("page"))
+    pages = scratch.table(page.agg(F.bitmap_construct_agg(F.col("at") % PAGE_BITS).alias("bits")), "pages")
+    packed_docs = docs.select(packed(docs.columns), column(doc_id).alias("id")).withColumn("at", spot(F.col("id")))
+    met = packed_docs.join(F.broadcast(pages), F.floor(F.col("at") / PAGE_BITS) == F.col("page"))  # FILTER_BITS at most
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("at") % PAGE_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = met.where(F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")).bitwiseAND(1) == 1)
+    # an inner join with distinct identifiers: a semi join would be moved before the bitmap's
+    return met.join(ids.hint("merge"), F.col("id") == F.col("wanted_id")).select(*unpacked(docs.columns))
 
 
 def _weigh_batches(batches: Iterator[pa.RecordBatch], ratio: object) -> Iterator[pa.RecordBatch]:
+    """(row, hash, text) to (row, log weight, key, order): the key's bits, ordered as the key is."""
     for batch in batches:
-        w = [float(ratio.value[g].sum()) for g in grams(batch.column(batch.num_columns - 1))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(w, pa.float64())], [*batch.schema.names[:-1], "log_weight"])
+        parts = [np.bincount(of, ratio.value[buckets], n) for n, of, buckets in grams(batch.column(2))]
+        weight = np.concatenate([np.zeros(0), *parts])
+        u = ((batch.column(1).to_numpy().view(U) >> U(12)).astype(float) + 0.5) / (1 << 52)
+        key = weight - np.log(-np.log(u))
+        bits = (key + 0.0).view(np.int64)
+        order = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(key), pa.array(order)], ["row", "log_weight", "gumbel_key", "order"])
 
 
 def top_k(keyed: DataFrame, k: int, key: str) -> DataFrame:
-    """Rows with the ``k`` largest non-negative 63-bit keys; rows equal to the last are all kept."""
+    """Rows with the ``k`` largest 64-bit keys; rows equal to the last are all kept."""
     prefix, rest = 0, k
     if k <= 0:
         return keyed.where(F.lit(False))
@@ -90,24 +124,20 @@ def top_k(keyed: DataFrame, k: int, key: str) -> DataFrame:
     return keyed.where(F.col(key) >= prefix)
 
 
-def resample(docs: DataFrame, ratio: np.ndarray, k: int, text: str = "text", doc_id: str = "doc_id", seed: int = 17) -> DataFrame:
-    """A sample of ``k`` rows of ``docs`` with ``log_weight`` and ``gumbel_key``.
+def resample(docs: DataFrame, ratio: np.ndarray, k: int, text: str = "text", doc_id: str = "doc_id", seed: int = 17, keep: list[str] | None = None) -> DataFrame:
+    """A sample of ``k`` rows of ``docs``, its columns ``keep`` (all if None), with
+    ``log_weight`` and ``gumbel_key``.
 
-    Columns of these names are replaced. Null or empty text weighs 0. Noise is a hash of
+    Columns of these names are replaced, all others may have any name; those kept are
+    written once, so keep the text only if it is wanted. Null or empty text weighs 0. Noise is a hash of
     identifier and text, so reruns agree and equal rows are taken together; rows that tie
     with the k-th are kept. If there are no more than ``k`` rows all stay; an empty table
     gives an empty result.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(ratio)  # BUCKETS numbers
-    kept = [c for c in docs.columns if c not in ("log_weight", "gumbel_key")]
-    cols = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("dsir_hash"), F.col(text).alias("dsir_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
-    weighed = cols.mapInArrow(partial(_weigh_batches, ratio=sent), f"{schema}, log_weight double")
-    u = (F.pmod("dsir_hash", F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weighed = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
-    #: Keys as integers in the same order: steps of 2^-40 around 2^62.
-    clipped = F.greatest(F.lit(-4e6), F.least(F.lit(4e6), F.col("gumbel_key")))
-    whole = F.lit(1 << 62) + F.floor(clipped * float(1 << 39)).cast("long")
-    scratch = Scratch(spark, "resample")
-    return top_k(scratch.table(weighed.withColumn("dsir_key", whole), "weighed"), k, "dsir_key").drop("dsir_key", "dsir_hash")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("log_weight", "gumbel_key")]
+    cols = docs.select(packed(kept), F.xxhash64(F.lit(seed), column(doc_id), column(text)).alias("hash"), column(text).alias("text"))
+    weighed = cols.mapInArrow(partial(_weigh_batches, ratio=sent), extended(cols.schema.fields[:1], "log_weight double, gumbel_key double, order long"))
+    found = top_k(Scratch(spark, "resample").table(weighed, "weighed"), k, "order")
+    return found.select(*unpacked(kept), "log_weight", "gumbel_key")
