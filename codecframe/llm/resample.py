@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from codecframe.llm import textscan as ts
 from codecframe.llm.decontam import _table
-from codecframe.llm.rows import column, extended, packed, unpacked
+from codecframe.llm.rows import column, extended, packed, unpacked, with_matches
 from codecframe.llm.store import Scratch
 
 U = np.uint64
@@ -29,8 +29,6 @@ BUCKETS = 1 << BUCKET_BITS
 #: Pseudo-count of each bucket in both models, at the scale of the target counts.
 PRIOR = 5.0
 LEVEL_BITS, LEVELS = 16, 4
-#: Bits of the bitmap of wanted identifiers, and those of one row of it (Spark's own size).
-FILTER_BITS, PAGE_BITS = 1 << 25, 1 << 15
 
 
 def grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -74,21 +72,13 @@ def fit(raw: DataFrame, target: DataFrame, text: str = "text") -> np.ndarray:
 def rows_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns, whose identifier ``wanted`` has in its first column.
 
-    A bitmap of the wanted identifiers' hashes, of fixed size, is sent out first. Only
-    rows that it lets through are shuffled to meet the identifiers themselves, whatever
-    the size of either side. A null identifier is in none; a repeated one changes nothing.
+    A null identifier is in none; a repeated one changes nothing.
     """
     scratch = Scratch(docs.sparkSession, "rows")
-    ids = scratch.table(wanted.select(F.col(wanted.columns[0]).alias("wanted_id")).where("wanted_id is not null").distinct(), "ids")
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    page = ids.select(spot(F.col("wanted_id")).alias("at")).groupBy(F.floor(F.col("at") / PAGE_BITS).alias("page"))
-    pages = scratch.table(page.agg(F.bitmap_construct_agg(F.col("at") % PAGE_BITS).alias("bits")), "pages")
-    packed_docs = docs.select(packed(docs.columns), column(doc_id).alias("id")).withColumn("at", spot(F.col("id")))
-    met = packed_docs.join(F.broadcast(pages), F.floor(F.col("at") / PAGE_BITS) == F.col("page"))  # FILTER_BITS at most
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("at") % PAGE_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = met.where(F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")).bitwiseAND(1) == 1)
-    # an inner join with distinct identifiers: a semi join would be moved before the bitmap's
-    return met.join(ids.hint("merge"), F.col("id") == F.col("wanted_id")).select(*unpacked(docs.columns))
+    ids = wanted.select(F.col(wanted.columns[0]).alias("id")).where("id is not null").distinct()
+    ids = scratch.table(ids, "ids")
+    rows = docs.select(packed(docs.columns), column(doc_id).alias("doc"))
+    return with_matches(rows, ids, "doc", "id", scratch).select(*unpacked(docs.columns))
 
 
 def _weigh_batches(batches: Iterator[pa.RecordBatch], ratio: object) -> Iterator[pa.RecordBatch]:

@@ -22,12 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Named intermediate tables of one operator call, dropped when no longer read."""
+    """Named intermediate tables of one operator call.
+
+    ``drop`` deletes tables that no later plan reads, ``keep`` all but those that the
+    returned plan still reads.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/codecframe-{label}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -39,6 +43,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -48,3 +53,15 @@ class Scratch:
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             p.getFileSystem(conf).delete(p, True)
+            self.paths.remove(t._scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        kept = [t._scratch_path for t in tables]
+        for path in self.paths:
+            if path not in kept:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+        self.paths = kept

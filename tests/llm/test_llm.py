@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from codecframe.llm import chat, decontam, fingerprint, jaccard, langid, lattice, linededup, mixing, resample, warc
 from codecframe.llm import textscan as ts
-from codecframe.llm.store import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(3)
@@ -50,8 +49,30 @@ def borderline(spark):
     return spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
 
 
-@pytest.mark.parametrize("table", ["docs", "borderline"])
-def test_jaccard_matches_brute_force(table, request):
+@pytest.fixture(scope="module")
+def clusters(spark):
+    """Chains and clusters of near copies of several sizes, on shared passages."""
+    r = random.Random(9)
+    shared, rows = prose(30, r), []
+    for size in (20, 60, 200, 700):
+        for _ in range(3):
+            base = prose(size, r).split()
+            for edits in range(12):
+                w = list(base)
+                for _ in range(edits):
+                    w[r.randrange(len(w))] = r.choice(VOCAB)
+                rows.append(shared + " " + " ".join(w) if r.random() < 0.5 else " ".join(w))
+                base = w if r.random() < 0.3 else base
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(rows)], DOCS)
+
+
+PATHS = [("docs", {}), ("borderline", {}), ("clusters", {}), ("clusters", {"SMALL": 1}), ("clusters", {"SMALL": 1, "BLOCK_MOST": 3, "BLOCK_LEAST": 2}), ("clusters", {"HOT": 0, "HOT_RATIO": 0, "BLOCK_MOST": 5, "BLOCK_LEAST": 2}), ("borderline", {"SMALL": 1})]
+
+
+@pytest.mark.parametrize("table, sizes", PATHS)
+def test_jaccard_matches_brute_force(table, sizes, request, monkeypatch):
+    for name, value in sizes.items():
+        monkeypatch.setattr(jaccard, name, value)
     docs = request.getfixturevalue(table)
     for k, percent in ((3, 90), (5, 80)):
         sets, parent = {}, {}
@@ -72,6 +93,17 @@ def test_jaccard_matches_brute_force(table, request):
         assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n in (1, 3, 40, 300, 5000):
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        for gone in (0, 1, n // 20, n // 5):
+            b = np.concatenate([a[gone:], r.integers(0, 1 << 63, 2 * gone).astype(np.uint64)])
+            for percent in (80, 90):
+                x, y = (jaccard.bitmap(s, percent, jaccard.TILE_BITS)[None] for s in (a, b))
+                assert jaccard.differing(x, y)[0] <= 3 * gone and jaccard.differing(y, x)[0] <= 3 * gone
+
+
 def test_near_duplicates_keeps_one_row_a_component(spark):
     import corpus_pipeline
 
@@ -94,18 +126,6 @@ def test_near_duplicates_keeps_one_row_a_component(spark):
     assert [x for x in kept if x not in firsts[0] + firsts[1]] == sorted([(3, c), (None, d), (5, e), (6, f), (7, ""), (7, ""), (None, None)], key=str)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_candidates_connect_the_nodes_of_a_shingle(spark, hot):
-    rows = [(n, 1, [s for s in range(6) if (n * 7 + s) % 5 == 0] + [100 + n // 10], n) for n in range(40)]
-    sets = spark.createDataFrame(rows, "doc_id long, n long, sigs array<long>, node long").withColumn("hot", F.transform("sigs", lambda x: (x % 2 == 0) if hot else F.lit(False)))
-    by = {}
-    for n, _, sigs, _ in rows:
-        for s in sigs:
-            by.setdefault(s, []).append(n)
-    want = {(n, min(of)) for of in by.values() for n in of if n != min(of)}
-    assert {(r["u"], r["v"]) for r in jaccard.candidates(sets, Scratch(spark, "test")).collect()} == want
-
-
 def test_decontam_finds_substituted_passages(spark, docs):
     item = prose(40)
     changed = item.split()
