@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from codecframe import registry
 from codecframe.options import Options
 from codecframe.status import OK, CodecError
 
-RESULT = "struct<status:string,detail:string,data:binary,bytes_in:long,bytes_out:long>"
-_result = pa.struct([("status", pa.string()), ("detail", pa.string()), ("data", pa.binary()), ("bytes_in", pa.int64()), ("bytes_out", pa.int64())])
+RESULT = "struct<status:string,detail:string,data:binary,bytes_in:long,bytes_out:long,rest:long>"
+_result = pa.struct([("status", pa.string()), ("detail", pa.string()), ("data", pa.binary()), ("bytes_in", pa.int64()), ("bytes_out", pa.int64()), ("rest", pa.int64())])
 
 
 def result(method: str, side: str, data: bytes, options: Options, reg: registry.Registry | None = None) -> dict:
-    """One value's codec_result."""
+    """One value's codec_result; ``rest`` is how many bytes follow the stream's end."""
     try:
-        out = registry.run(method, side, data, options, reg)
-        return {"status": OK, "detail": "", "data": out, "bytes_in": len(data), "bytes_out": len(out)}
+        out, rest = registry.run_with_rest(method, side, data, options, reg)
+        return {"status": OK, "detail": "", "data": out, "bytes_in": len(data), "bytes_out": len(out), "rest": rest}
     except CodecError as e:
-        return {"status": e.status, "detail": e.detail, "data": None, "bytes_in": len(data), "bytes_out": 0}
+        return {"status": e.status, "detail": e.detail, "data": None, "bytes_in": len(data), "bytes_out": 0, "rest": 0}
 
 
 def _codec(col: Column, method: str, side: str, options: dict | None, reg: registry.Registry | None) -> Column:
@@ -50,6 +50,38 @@ def decode(col: Column, method: str, options: dict | None = None, reg: registry.
     return _codec(col, method, "decoder", options, reg)
 
 
+def _sql_codec(side: str) -> object:
+    @F.arrow_udf(RESULT)
+    def apply(values: pa.Array, methods: pa.Array, options: pa.Array) -> pa.Array:
+        out, known = [], {}
+        for value, method, given in zip(values.to_pylist(), methods.to_pylist(), options.to_pylist(), strict=True):
+            if value is None:
+                out.append(None)
+                continue
+            key = (method, tuple(sorted(given or [])))
+            if key not in known:
+                try:
+                    known[key] = registry.DEFAULT.schema(method).parse(dict(key[1])), None
+                except CodecError as e:
+                    known[key] = None, {"status": e.status, "detail": e.detail, "data": None, "bytes_in": 0, "bytes_out": 0, "rest": 0}
+            opts, bad = known[key]
+            out.append(bad or result(method, side, value, opts))
+        return pa.array(out, _result)
+
+    return apply
+
+
+def register_sql(spark: SparkSession) -> None:
+    """SQL functions codec_encode and codec_decode (binary, method, map of option texts), and
+    the table functions gzip_members, deflate_blocks, deflate_symbols and code_length_runs."""
+    from codecframe.operators import tables
+
+    for name, f in (("codec_encode", _sql_codec("encoder")), ("codec_decode", _sql_codec("decoder"))):
+        spark.udf.register(name, f)
+    for name, f in (("gzip_members", tables.GzipMembers), ("deflate_blocks", tables.DeflateBlocks), ("deflate_symbols", tables.DeflateSymbols), ("code_length_runs", tables.CodeLengthRuns)):
+        spark.udtf.register(name, f)
+
+
 def strict(res: Column) -> Column:
     """The data of a codec_result; any error fails the query."""
     return F.when(res["status"] == OK, res["data"]).when(res.isNull(), F.lit(None)).otherwise(F.raise_error(F.concat(res["status"], F.lit(": "), res["detail"])).cast("binary"))

@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType
 
 from codecframe import registry
 from codecframe.kernels import crc
+from codecframe.kernels.bits import BitWriter
 from codecframe.options import Options
 from codecframe.status import CORRUPT, OK, CodecError
 
@@ -72,6 +73,41 @@ def transcode(chunks: DataFrame, method: str, side: str = "decoder", options: di
     return ordered.mapInArrow(partial(_decode, method=method, side=side, options=Options(options)), DECODED)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stream, value, bits) in order to (stream, seq, chunk, eof): the writer's bytes."""
+    stream, writer, seq, begun = None, BitWriter(), 0, False
+    for batch in batches:
+        rows, held = [], bytearray()
+        for sid, value, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if begun and sid != stream:
+                rows.append((stream, seq, bytes(held) + writer.flush(), True))
+                held.clear()
+                seq = 0
+            stream, begun = sid, True
+            held += writer.put(value, n)
+        if held:
+            rows.append((stream, seq, bytes(held), False))
+            seq += 1
+        yield _chunk_rows(rows)
+    if begun:
+        yield _chunk_rows([(stream, seq, writer.flush(), True)])
+
+
+def _chunk_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)], ["stream_id", "seq", "chunk", "eof"])
+
+
+def pack_bits(df: DataFrame, stream_id: str, order: str, value: str, bits: str) -> DataFrame:
+    """Write each stream's values, ``bits`` bits of each, lowest bit first, in order, as chunk rows.
+
+    A value that does not fit its bits fails the query; the last byte is padded with zeros.
+    """
+    rows = df.select(F.col(stream_id).cast("string").alias("stream_id"), F.col(order).alias("at"), F.col(value).cast("long").alias("value"), F.col(bits).cast("int").alias("bits"))
+    ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", "at").select("stream_id", "value", "bits")
+    return ordered.mapInArrow(_pack, "stream_id string, seq long, chunk binary, eof boolean")
+
+
 def _crc_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold runs of (stream, run, seq, chunk) rows to one (crc, length) each."""
     key, first, value, size = None, 0, 0, 0

@@ -124,6 +124,21 @@ class Schema:
             elif self.unknown == "error":
                 raise CodecError(INVALID_ARG, f"unknown option {key}")
 
+    def parse(self, texts: dict[str, str | None]) -> Options:
+        """Options given as texts, checked; bytes are hexadecimal, null leaves the default."""
+        out = Options()
+        for key, text in texts.items():
+            kind = self.spec(key).type
+            if text is None:
+                continue
+            try:
+                value = {"bool": {"true": True, "false": False}.__getitem__, "bytes": bytes.fromhex, "string": str}.get(kind, int)(text)
+            except (KeyError, ValueError) as e:
+                raise CodecError(INVALID_ARG, f"{key} is not {kind}") from e
+            out.set(key, value, kind)
+        self.validate(out)
+        return out
+
     def read(self, options: Options) -> dict:
         """Values of all keys, checked."""
         self.validate(options)

@@ -66,6 +66,11 @@ for _m in METHODS:
 
 def run(name: str, side: str, data: bytes, options: Options | dict | None = None, registry: Registry | None = None, capacity: int | None = None) -> bytes:
     """One-shot encode or decode, fed in steps; a result over ``capacity`` is a limit error."""
+    return run_with_rest(name, side, data, options, registry, capacity)[0]
+
+
+def run_with_rest(name: str, side: str, data: bytes, options: Options | dict | None = None, registry: Registry | None = None, capacity: int | None = None) -> tuple[bytes, int]:
+    """``run``, and how many bytes follow the end of the stream."""
     coder = (registry or DEFAULT).create(name, side, options)
     view, out, n = memoryview(data), [], 0
     for at in range(0, len(view), STEP):
@@ -78,7 +83,7 @@ def run(name: str, side: str, data: bytes, options: Options | dict | None = None
         n += len(out[-1])
     if capacity is not None and n > capacity:
         raise CodecError("LIMIT", f"output is over {capacity} bytes")
-    return b"".join(out)
+    return b"".join(out), len(getattr(coder, "rest", b""))
 
 
 def pump(name: str, side: str, read: Callable, write: Callable, options: Options | dict | None = None, registry: Registry | None = None) -> int:

@@ -1,4 +1,4 @@
-"""Compressed files: read through Spark's binary reader, written as gzip members."""
+"""Compressed files: as streams of chunk rows, or whole through Spark's own readers."""
 
 from __future__ import annotations
 
@@ -6,6 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecframe import functions as C
+from codecframe.sources.stream import CodecFiles
+
+
+def _given(method: str, options: dict | None) -> dict[str, str]:
+    texts = {k: v.hex() if isinstance(v, bytes) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in (options or {}).items()}
+    return {"method": method, **{f"option.{k}": v for k, v in texts.items()}}
+
+
+def read_chunks(spark: SparkSession, path: str, method: str = "gzip", options: dict | None = None) -> DataFrame:
+    """Files decoded step by step: (path, seq, data, status, detail), a file a task.
+
+    A bad file's last row has its status; the rows before it stay.
+    """
+    spark.dataSource.register(CodecFiles)
+    return spark.read.format("codec").options(path=path, **_given(method, options)).load()
+
+
+def write_members(df: DataFrame, data: str, path: str, method: str = "gzip", options: dict | None = None, mode: str = "append") -> None:
+    """Write a binary column as encoded files, one a partition, each row a member."""
+    df.sparkSession.dataSource.register(CodecFiles)
+    df.select(F.col(data).cast("binary").alias("data")).write.format("codec").options(path=path, **_given(method, options)).mode(mode).save()
 
 
 def read_compressed(spark: SparkSession, path: str, method: str = "gzip", options: dict | None = None, glob: str | None = None) -> DataFrame:

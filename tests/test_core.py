@@ -1,11 +1,15 @@
 import gzip as stdlib_gzip
 import io
 import os
+import random
 import zlib
 
+import pandas as pd
 import pytest
 
-from codecframe.kernels import crc, gzip, huffman
+from codecframe import sources, streaming
+from codecframe.kernels import bits, crc, gzip, huffman
+from codecframe.operators import analytics
 from codecframe.operators.tables import blocks
 from codecframe.options import Options
 from codecframe.registry import DEFAULT, Method, Registry, pump, run
@@ -15,11 +19,11 @@ PAYLOADS = [b"", b"A", bytes(range(256)), b"ab" * 50000, os.urandom(70000)]
 
 
 @pytest.mark.parametrize("level", [0, 1, 6, 9])
-@pytest.mark.parametrize("bits", [8, 15])
-def test_deflate_round_trip(level, bits):
+@pytest.mark.parametrize("window", [8, 15])
+def test_deflate_round_trip(level, window):
     for d in PAYLOADS:
-        z = run("deflate", "encoder", d, {"deflate.level": level, "deflate.window_bits": bits})
-        assert run("deflate", "decoder", z, {"deflate.window_bits": bits}) == d == zlib.decompress(z, -15)
+        z = run("deflate", "encoder", d, {"deflate.level": level, "deflate.window_bits": window})
+        assert run("deflate", "decoder", z, {"deflate.window_bits": window}) == d == zlib.decompress(z, -15)
         assert sum(b["bytes_out"] for b in blocks(z)) == len(d)
 
 
@@ -107,5 +111,153 @@ def test_huffman():
     assert huffman.run_lengths([0] * 140 + [3] * 4) == [(18, 127), (0, 0), (0, 0), (3, 0), (16, 0)]
 
 
+#: gzip streams, what they decode to, and header fields (fixed values of the format's tests).
+GOLDEN = [
+    ("1F8B08003A647E6902FF03000000000000000000", b"", {}),
+    ("1F8B08003A647E6902FFF348CDC9C9D75108CF2FCA49510400D0C34AEC0D000000", b"Hello, World!", {"mtime": 0x697E643A, "xfl": 2, "os": 255}),
+    ("1F8B08080000000000FF746573742E747874000B492D2E5148492C495428CF2CC95048CBCC49CD4BCC4D05007505DD8B17000000", b"Test data with filename", {"name": "test.txt"}),
+    ("1F8B08100000000000FF54686973206973206120636F6D6D656E74000B492D2E5148492C495428CF2CC95048CECFCD4DCD2B01001279C4FF16000000", b"Test data with comment", {"comment": "This is a comment"}),
+    ("1F8B08040000000000FF080041424344313233340B492D2E5148492C495428CF2CC95048AD28294A5448CB4CCD4901002AD247DA1A000000", b"Test data with extra field", {"extra": b"ABCD1234"}),
+    ("1F8B08020000000000FF90C90B492D2E5148492C495428CF2CC950C8484D4C492D52700E72060003B515D919000000", b"Test data with header CRC", {"flags": 2}),
+    ("1F8B08003A647E6902FF73CB2C2A2E51C84DCD4D4A2D02005A2B01920C0000001F8B08003A647E6902FF0B4E4DCECF4B51C84DCD4D4A2D0200D13F842C0D000000", b"First memberSecond member", {}),
+]
+
+
+@pytest.mark.parametrize("hexed, want, fields", GOLDEN)
+def test_gzip_vectors(hexed, want, fields):
+    data = bytes.fromhex(hexed)
+    for step in (1, len(data)):
+        d = DEFAULT.create("gzip", "decoder", {"gzip.concat": True})
+        assert b"".join(d.update(data[i : i + step]) for i in range(0, len(data), step)) + d.finish() == want
+        assert {k: getattr(d.members[0][0], k) for k in fields} == fields
+    d.reset()
+    assert d.update(data) == want and d.finish() == b""
+
+
+def test_encoders_start_anew_after_reset():
+    for name in ("deflate", "gzip", "identity"):
+        e = DEFAULT.create(name, "encoder")
+        first = e.update(b"abc" * 99) + e.finish()
+        e.reset()
+        e.update(b"left over")
+        e.reset()
+        assert e.update(b"abc" * 99) + e.finish() == first
+
+
+@pytest.mark.parametrize("strategy", ["default", "fixed", "rle", "huffman_only"])
+def test_blocks_read_what_the_codec_writes(strategy):
+    r = random.Random(1)
+    names = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    text = " ".join(r.choice(names) for _ in range(30_000)).encode()  # far over a window, shuffled
+    z = run("deflate", "encoder", text, {"deflate.strategy": strategy, "deflate.level": 9})
+    counts = [0] * 288, [0] * 32
+    found = list(blocks(z, counts))
+    assert sum(b["bytes_out"] for b in found) == len(text) and found[-1]["final"] and (found[-1]["bit_end"] + 7) // 8 == len(z)
+    assert counts[0][256] == len(found) and sum(counts[0][257:]) == sum(counts[1]) == sum(b["matches"] for b in found)
+    assert sum(counts[0][:256]) == sum(b["literals"] for b in found) and run("deflate", "decoder", z) == text
+
+
+def test_damaged_streams_fail_in_both_readers():
+    r = random.Random(2)
+    z = run("deflate", "encoder", bytes(r.choice(b"abcd  ") for _ in range(3000)))
+    for _ in range(300):
+        bad = bytearray(z)
+        bad[r.randrange(len(bad))] ^= 1 << r.randrange(8)
+        bad = bytes(bad[: r.randint(1, len(bad))])
+        status = []
+        for f in (lambda: run("deflate", "decoder", bad), lambda: list(blocks(bad))):
+            try:
+                f()
+                status.append("OK")
+            except CodecError as e:
+                status.append(e.status)
+        assert status[1] in (status[0], "OK")  # the block reader takes incomplete codes
+
+
+def test_bits():
+    w, r, out, want = bits.BitWriter(), random.Random(3), b"", []
+    for _ in range(500):
+        n = r.randint(0, 40)
+        want.append((r.getrandbits(n) if n else 0, n))
+        out += w.put(*want[-1])
+    reader = bits.BitReader(out + w.flush())
+    assert [reader.bits(n) for _, n in want] == [v for v, _ in want]
+    assert bits.reverse(0b0011, 4) == 0b1100 and bits.reverse(0, 0) == 0
+    with pytest.raises(CodecError):
+        w.put(4, 2)
+
+
+def test_code_lengths():
+    r = random.Random(4)
+    for _ in range(200):
+        lengths = [r.choice([0, 0, 0, r.randint(1, 15)]) for _ in range(r.randint(1, 300))]
+        lengths[r.randrange(len(lengths)) :] += [r.choice([0, 7])] * r.randint(0, 300)
+        assert huffman.expand_runs(huffman.run_lengths(lengths)) == lengths
+    for n in range(17):
+        full = huffman.complete([5] * n)
+        assert huffman.kraft(full, 7) == 128 and full[:n] == [5] * n
+    with pytest.raises(CodecError):
+        huffman.complete([1] * 3)
+
+
+def test_match_codes_out_of_range(spark):
+    df = spark.createDataFrame([(None,), (2,), (3,), (258,), (259,), (0,), (32768,), (32769,)], "v int")
+    code = lambda kind: [r["code"] for r in analytics.match_codes(df, "v", kind).collect()]
+    assert code("length") == [None, None, 257, 285, None, None, None, None]
+    assert code("distance") == [None, 1, 2, 16, 16, None, 29, None]
+
+
+def test_files_are_read_step_by_step(spark, tmp_path):
+    rows = [(b"a" * 300_000,), (None,), (os.urandom(100_000),)]
+    df = spark.createDataFrame(rows, "data binary").repartition(1)
+    for method in ("gzip", "deflate"):
+        at = f"file://{tmp_path}/{method}"
+        sources.write_members(df if method == "gzip" else df.limit(1), "data", at, method, {f"{method}.level" if method == "deflate" else "deflate.level": 1})
+        sources.write_members(df if method == "gzip" else df.limit(1), "data", at, method, mode="overwrite")
+        out = sources.read_chunks(spark, at, method).collect()
+        assert {r["status"] for r in out} == {"OK"} and len({r["path"] for r in out}) == 1
+        data = b"".join(r["data"] for r in sorted(out, key=lambda r: r["seq"]))
+        assert len(data) in (400_000, 300_000, 100_000)
+    (tmp_path / "gzip" / "bad.gz").write_bytes(b"no gzip")
+    bad = [r for r in sources.read_chunks(spark, f"file://{tmp_path}/gzip").collect() if r["path"].endswith("bad.gz")]
+    assert [r["status"] for r in bad] == ["CORRUPT"]
+
+
+class State:
+    """What the streaming function needs of a group's state."""
+
+    def __init__(self):
+        self.value, self.wait, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+
+def test_ended_streams_are_remembered():
+    z = run("gzip", "encoder", b"text")
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["seq", "chunk", "eof"])])
+    state, go = State(), lambda state, rows: [tuple(r)[1:] for f in streaming._decode(("s",), rows, state, "gzip", Options(), 1000, 50) for r in f.itertuples(index=False)]
+    assert go(state, frame((1, z[5:], True))) == [] and state.wait == 50
+    assert go(state, frame((0, z[:5], False))) == [("OK", "", b"text")]
+    assert go(state, frame((2, b"late", False))) == [] and go(state, frame((0, z, True))) == []
+    state.hasTimedOut = True
+    assert go(state, iter([])) == [] and not state.exists
+    late = State()
+    go(late, frame((0, b"", False)))
+    late.hasTimedOut = True
+    assert go(late, iter([]))[0][0] == "CORRUPT"
+    assert go(State(), frame((0, b"x" * 2000, False)))[0][0] == "LIMIT"
+    assert go(State(), frame((0, b"", True), (1, b"", False)))[0][0] == "CORRUPT"
+
+
 def test_header_needs_more_bytes():
     assert gzip.parse_header(b"\x1f\x8b\x08", gzip.SCHEMA.read(Options())) is None

@@ -4,7 +4,7 @@ import pytest
 from codecframe.plans import suite
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation part lineitem documents pages conversations".split()
+TABLES = "nation part orders lineitem documents pages conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(suite.ORACLES))
