@@ -13,6 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecframe.llm.rows import column, packed, unpacked
 from codecframe.llm.store import Scratch
 
 #: ASCII white space, stripped at both ends of a line.
@@ -53,31 +54,32 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """Documents without the lines that at least ``min_docs`` documents hold.
 
     Adds ``kept_text``, ``n_lines`` (before dropping) and ``n_dropped`` to the columns of
-    ``docs``; columns of these names are replaced. A shared key of at least ``min_chars``
+    ``docs``; columns of these names are replaced, all others may have any name. A shared key of at least ``min_chars``
     code points loses all its lines, except in the smallest identifier that holds it
     (``keep_first``). Null or empty text is one empty line; shorter keys stay; rows that
     repeat an identifier are one document, each row with its own lines; a document
     without identifier comes after all others; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("ln_doc"), body.alias("ln_text"), F.xxhash64(body).alias("ln_row"))
+    kept = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    body = F.coalesce(column(text), F.lit(""))
+    rows = docs.select(column(doc_id).alias("ln_doc"), body.alias("ln_text"), F.xxhash64(body).alias("ln_row"))
     shared = scratch.table(shared_lines(hashed_lines(rows, min_chars), min_docs), "shared")
     hits = hashed_lines(rows, min_chars).join(shared, ["k1", "k2"])
     if keep_first:
         hits = hits.where(~F.col("ln_doc").eqNullSafe(F.col("owner")))
     drops = hits.groupBy("ln_doc", "ln_row").agg(F.collect_set("pos").alias("drop_pos")).select(F.col("ln_doc").alias("d_doc"), F.col("ln_row").alias("d_row"), "drop_pos")
-    keyed = docs.withColumns({"ln_doc": F.col(doc_id), "ln_row": F.xxhash64(body), LINES: F.split(body, "\n", -1)})
+    keyed = docs.select(packed(docs.columns), column(doc_id).alias("ln_doc"), F.xxhash64(body).alias("ln_row"))
     out = keyed.join(drops, F.col("ln_doc").eqNullSafe(F.col("d_doc")) & (F.col("ln_row") == F.col("d_row")), "left")
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
+    lines = F.split(body, "\n", -1)
     # array_except hashes, and an array is read by index in constant time: linear in the lines
     places = F.array_except(F.sequence(F.lit(0), F.size(LINES) - 1), F.col("drop_pos"))
-    kept = F.array_join(F.transform(places, lambda i: F.col(LINES)[i]), "\n")
-    out = out.withColumns(
-        {
-            "kept_text": F.when(F.col("drop_pos").isNull(), body).otherwise(kept),
-            "n_lines": F.size(LINES).cast("long"),
-            "n_dropped": F.when(F.col("drop_pos").isNull(), 0).otherwise(F.size("drop_pos")).cast("long"),
-        }
+    left = F.array_join(F.transform(places, lambda i: F.col(LINES)[i]), "\n")
+    out = out.select("row", "drop_pos", body.alias("body"), lines.alias(LINES))
+    return out.select(
+        *unpacked(kept),
+        F.when(F.col("drop_pos").isNull(), F.col("body")).otherwise(left).alias("kept_text"),
+        F.size(LINES).cast("long").alias("n_lines"),
+        F.when(F.col("drop_pos").isNull(), 0).otherwise(F.size("drop_pos")).cast("long").alias("n_dropped"),
     )
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "kept_text", "n_lines", "n_dropped")

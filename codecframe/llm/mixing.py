@@ -3,8 +3,8 @@
 Every document gets a fixed pseudo-random 60-bit key. For each source the sizes are
 summed by key bucket; the bucket in which the running sum crosses the source's budget is
 refined with the next 15 bits, until it holds one key. Documents below the threshold are
-taken once more than those above. Nothing is sorted but bucket sums, which number at
-most 2^15 a source and level, and no document is moved between tasks to be chosen.
+taken once more than those above. Nothing is sorted but bucket sums, of which a task has
+at most 2^8 of a source, and no document is moved between tasks to be chosen.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codecframe.llm.rows import column, packed, unpacked
 from codecframe.llm.store import Scratch
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 LEVEL_BITS, LEVELS = 15, 4
+#: Buckets of a range, whose sums are summed in turn.
+RANGE = 1 << 8
 
 
 def word_count(text: Column) -> Column:
@@ -79,15 +82,15 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
 
     Adds ``size`` (words), ``source_size``, ``target`` (of the source) and ``taken`` (0,
     ``size`` or more whole repeats) to the columns of ``docs``; columns of these names are
-    replaced. Null text has size 0; a null source is a source, last in order; documents
+    replaced, all others may have any name. Null text has size 0; a null source is a source, last in order; documents
     without identifier are told apart by their text; equal rows are taken alike, as one
     key; an empty table gives an empty result. A source's taken words differ from its
     target by less than the size of one key's documents. Reruns agree: the key is a hash.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    docs = docs.drop("size", "source_size", "target", "taken")
-    keyed = docs.withColumns({"mix_source": F.col(source), "mix_size": word_count(F.col(text)), "mix_key": mixing_key(F.col(doc_id), F.col(text))})
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    keyed = docs.select(packed(kept), column(source).alias("mix_source"), word_count(column(text)).alias("mix_size"), mixing_key(column(doc_id), column(text)).alias("mix_key"))
     sizes = scratch.table(keyed.select("mix_source", "mix_size", "mix_key"), "sizes")
     plan = scratch.table(
         with_targets(ranked_sources(sizes, scratch), share, most, weights)
@@ -101,8 +104,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     plan = plan.withColumnRenamed("mix_source", "plan_source")
     out = keyed.join(plan, F.col("mix_source").eqNullSafe(F.col("plan_source")), "left")
     extra = F.when(F.col("mix_key") < F.col("prefix"), 1).otherwise(0)
-    out = out.withColumns({"size": F.col("mix_size"), "taken": (F.col("mix_size") * (F.col("rounds") + extra)).cast("long")})
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "taken")
+    taken = (F.col("mix_size") * (F.col("rounds") + extra)).cast("long")
+    return out.select(*unpacked(kept), F.col("mix_size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
 def refine(sizes: DataFrame, plan: DataFrame, level: int, scratch: Scratch) -> DataFrame:
@@ -116,7 +119,13 @@ def refine(sizes: DataFrame, plan: DataFrame, level: int, scratch: Scratch) -> D
     p = plan.select(F.col("mix_source").alias("p_source"), "prefix", "rest")
     inside = sizes.join(p, F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.shiftright("mix_key", left + LEVEL_BITS) == F.col("prefix")))
     sums = inside.groupBy("mix_source", "rest", F.shiftright("mix_key", left).alias("bucket")).agg(F.sum("mix_size").alias("words"))
-    run = sums.withColumn("upto", F.sum("words").over(W.partitionBy("mix_source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
+    sums = scratch.table(sums.withColumn("range", F.floor(F.col("bucket") / RANGE)), f"sums{level}")
+    before = W.partitionBy("mix_source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = sums.groupBy("mix_source", "range").agg(F.sum("words").alias("words"))
+    ranges = ranges.select(F.col("mix_source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    within = W.partitionBy("mix_source", "range").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    run = sums.withColumn("upto", F.sum("words").over(within)).join(ranges, F.col("mix_source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
+    run = run.withColumn("upto", F.col("upto") + F.col("base"))
     #: The boundary bucket is the first whose running sum passes the budget.
     passed = F.col("upto") > F.col("rest")
     step = run.groupBy("mix_source").agg(
