@@ -8,23 +8,27 @@ bytes they cover, as text; an insertion changes only the chunks around it.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType
 
 from codecframe.llm import textscan as ts
-from codecframe.llm.store import Scratch
+from codecframe.llm.rows import column, extended
 
 U = np.uint64
 LEAST, NORMAL, MOST = 16, 48, 160
 #: Bits that must be zero before and after the normal length.
 STRICT, LOOSE = U(0x7F << 24), U(0x0F << 24)
 BLOCK = 1 << 20
-ROWS_A_PART = 4000
+#: Rows of a part, and the most parts: beyond so many, parts get more rows.
+ROWS_A_PART, MOST_PARTS = 4000, 1 << 16
 
 _gear = ts.mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95)) & U(0xFFFFFFFF)
 
@@ -124,40 +128,38 @@ def compare_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     part also ends the part before, so each text is moved once.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "fingerprint")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     order = F.xxhash64("text")
     ids = rows.select("doc_id", order.alias("h"))
     n = ids.count()
     id_type = rows.schema["doc_id"].dataType
-    schema = f"doc_id {id_type.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = extended([rows.schema["doc_id"]], "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     if not n:
         return spark.createDataFrame([], schema)
-    parts = max(1, -(-n // ROWS_A_PART))
-    ranged = scratch.table(ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nameless")), "bounds")
-    lows = sorted((r["low"] for r in ranged.orderBy("p").collect()[1:] if r["low"] is not None))  # one a part
-    bounds = spark.createDataFrame([(k + 1, v) for k, v in enumerate(lows)], f"k int, low {id_type.simpleString()}")
-    #: Parts are told by binary search in an array of one bound a part.
-    array = bounds.orderBy("k").agg(F.collect_list("low").alias("lows")).first()["lows"] or []
-    bound = F.array(*[F.lit(x) for x in array]) if array else None
-    part = F.lit(0) if bound is None else F.coalesce(F.size(F.filter(bound, lambda x: x <= F.col("doc_id"))), F.lit(0))
-    own = rows.withColumns({"part": part, "h": order}) if bound is not None else rows.withColumns({"part": F.lit(0), "h": order})
-    own = own.withColumn("first", F.lit(False) if bound is None else F.coalesce(F.array_contains(bound, F.col("doc_id")), F.lit(False)))
+    parts = min(MOST_PARTS, max(1, -(-n // ROWS_A_PART)))
+    ranged = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("p", F.spark_partition_id())
+    lows = ranged.groupBy("p").agg(F.min("doc_id").alias("low")).orderBy("p").collect()[1:]  # MOST_PARTS rows at most
+    lows = spark.sparkContext.broadcast(sorted({r["low"] for r in lows if r["low"] is not None}))
+    last = len(lows.value)
+
+    @F.arrow_udf(IntegerType())
+    def place(names: pa.Array) -> pa.Array:
+        """Twice the part, and one more for its first identifier, by binary search."""
+        of = [0 if x is None else bisect_right(lows.value, x) for x in names.to_pylist()]
+        return pa.array([2 * k + (k > 0 and lows.value[k - 1] == x) for k, x in zip(of, names.to_pylist(), strict=True)], pa.int32())
+
+    own = rows.withColumns({"place": place("doc_id"), "h": order}).withColumns({"part": F.floor(F.col("place") / 2).cast("int"), "first": F.col("place") % 2 == 1})
     lowest = rows.select("doc_id", order.alias("h")).orderBy(F.col("doc_id").asc_nulls_first(), "h").first()
     is_lowest = F.col("doc_id").eqNullSafe(F.lit(lowest["doc_id"]).cast(id_type)) & (F.col("h") == lowest["h"])
     spots = F.filter(
         F.array(
             F.struct(F.col("part").alias("part"), F.lit(0).alias("extra")),
             F.when(F.col("first"), F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("extra"))),
-            F.when(is_lowest, F.struct(F.lit(len(array)).alias("part"), F.lit(1).alias("extra"))),
+            F.when(is_lowest, F.struct(F.lit(last).alias("part"), F.lit(1).alias("extra"))),
         ),
         lambda x: x.isNotNull(),
     )
     dealt = own.select("doc_id", "text", "h", F.explode(spots).alias("s")).select("s.part", "s.extra", "doc_id", "h", "text")
     key = [F.col("part"), F.col("extra"), F.col("doc_id").asc_nulls_first(), F.col("h")]
-    dealt = dealt.repartition(len(array) + 1, "part").sortWithinPartitions(*key).select("part", "extra", "doc_id", "text")
-    from functools import partial
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions(*key).select("part", "extra", "doc_id", "text")
     return dealt.mapInArrow(partial(_neighbour_batches, id_type=to_arrow_type(id_type)), schema)
