@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecframe.llm.rows import column
 from codecframe.llm.store import Scratch
 
 CHUNK = 1 << 20
@@ -36,8 +37,8 @@ def _urn(*cols: Column) -> Column:
 
 def record_chunks(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK) -> DataFrame:
     """Rows (record_id, chunk_no, data) of a record a row of ``pages``."""
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body"))
+    body = F.coalesce(column(payload).cast("binary"), F.lit(b""))
+    rows = pages.select(column(page_id).alias("page_id"), column(url).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumns({"n": F.octet_length("body").cast("long"), "digest": F.sha2("body", 256)})
     firsts = rows.where(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
     firsts = scratch.table(firsts.select(F.col("digest").alias("shared"), "first_id"), "shared")
@@ -53,8 +54,8 @@ def record_chunks(pages: DataFrame, scratch: Scratch, page_id: str = "page_id",
         _line("WARC-Date", F.lit(DATE)),
         _line("WARC-Target-URI", uri),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(F.col("revisit"), F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("X-Refers-To-Page", F.col("first_id").cast("string")), _line("X-Payload-Length", F.col("n").cast("string")))).otherwise(""),
-        F.when(F.col("page_id").isNull(), "").otherwise(_line("X-Page", F.coalesce(F.col("page_id").cast("string"), F.lit("")))),
+        F.when(F.col("revisit"), F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("X-Refers-To-Page", F.url_encode(F.col("first_id").cast("string"))), _line("X-Payload-Length", F.col("n").cast("string")))).otherwise(""),
+        F.when(F.col("page_id").isNull(), "").otherwise(_line("X-Page", F.coalesce(F.url_encode(F.col("page_id").cast("string")), F.lit("")))),
         _line("Content-Type", F.lit("text/html")),
         _line("Content-Length", F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("n")).cast("string")),
         F.lit("\r\n"),
@@ -122,7 +123,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_records(chunks: DataFrame) -> DataFrame:
-    """One row a record: identifiers as text, payload size and digest, type, and ``whole``
+    """One row a record: identifiers as percent-encoded text, payload size and digest, type, and ``whole``
     (length, end and digest are right). Chunks meet by record and are read in order."""
     ordered = chunks.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
     return ordered.select("record_id", "data").mapInArrow(read_batches, FIELDS)
@@ -133,7 +134,7 @@ def archive_and_read(pages: DataFrame, page_id: str = "page_id", url: str = "url
 
     Of equal payloads of at least ``LEAST_SHARED`` bytes the smallest identifier is the
     response; the others are revisits without block that carry the digest and length of
-    the full payload. Rows that repeat that identifier are responses as well. Null or
+    the full payload. Identifiers are percent-encoded in the headers. Rows that repeat that identifier are responses as well. Null or
     empty payload is an empty response; a null identifier has no X-Page field and is read
     as null; a null address is empty; extra columns are ignored; an empty table gives an
     empty result.
@@ -141,4 +142,4 @@ def archive_and_read(pages: DataFrame, page_id: str = "page_id", url: str = "url
     scratch = Scratch(pages.sparkSession, "warc")
     archive = scratch.table(record_chunks(pages, scratch, page_id, url, payload), "archive")
     kind = pages.schema[page_id].dataType
-    return read_records(archive).withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
+    return read_records(archive).withColumns({c: F.url_decode(c).cast(kind) for c in ("page_id", "refers_to")})
