@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codecframe.llm.rows import column, extended, packed, unpacked
 from codecframe.llm.store import Scratch
 
 ROLES = ("user", "assistant", "system")
@@ -143,15 +144,11 @@ def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _matrix_batches(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
     for (conv, seg), rows in _groups(batches, 2):
-        m = None
-        for _, text in rows:
-            m = matrix(model.value, observe(text), m)
-        first = observe(rows[0][1])[:1]
-        rest = None
-        if seg is not None:  # the matrix after the first line, for segments that start a conversation
-            obs = np.concatenate([observe(t) for _, t in rows])[1:]
-            rest = matrix(model.value, obs, None) if len(obs) else None
-        open_ = model.value.start + model.value.emit[:, first[0]]
+        obs = np.concatenate([observe(t) for _, t in rows])
+        rest = matrix(model.value, obs[1:], None)  # after the first line, None for only one
+        first = model.value.move + model.value.emit[:, obs[0]]
+        open_ = model.value.start + model.value.emit[:, obs[0]]
+        m = first if rest is None else (first[:, :, None] + rest[None]).max(1)
         begin = open_ if rest is None else (open_[:, None] + rest).max(0)
         yield pa.RecordBatch.from_arrays([pa.array([conv], pa.string()), pa.array([seg], pa.int64()), pa.array([m.ravel().tolist()]), pa.array([begin.tolist()])], ["conv", "seg", "m", "begin"])
 
@@ -170,12 +167,14 @@ def _border_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
+    """(conv, seg, entry, exit, text, row), a segment's borders before its pieces, to (row, turns)."""
     turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string()), ("opens", pa.bool_()), ("line", pa.int64()), ("n_lines", pa.int64())]))
-    for (_, _, entry, exit_), rows in _groups(batches, 4):
-        obs = [observe(t) for _, t, _ in rows]
-        states = viterbi(model.value, np.concatenate(obs), entry, exit_)
+    for batch in _segments(batches):
+        texts = [t or "" for t in batch.column(4).to_pylist()[1:]]
+        obs = [observe(t) for t in texts]
+        states = viterbi(model.value, np.concatenate(obs), batch.column(2)[0].as_py(), batch.column(3)[0].as_py())
         at, out = 0, []
-        for (_, text, row), o in zip(rows, obs, strict=True):
+        for text, o in zip(texts, obs, strict=True):
             turns: list[dict] = []
             for i, (line, s) in enumerate(zip(text.split("\n"), states[at : at + len(o)], strict=True)):
                 opens = s % 2 == 0
@@ -183,8 +182,28 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], model: object) -> Iterato
                     turns.append({"role": ROLES[s // 2], "text": [], "opens": opens, "line": i})
                 turns[-1]["text"].append(split_marker(line)[1] if opens else line)
             at += len(o)
-            out.append((row, [t | {"text": "\n".join(t["text"]).strip("\n"), "n_lines": len(t["text"])} for t in turns]))
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([t for _, t in out], turn)], ["chat_row", "turns"])
+            out.append([t | {"text": "\n".join(t["text"]).strip("\n"), "n_lines": len(t["text"])} for t in turns])
+        yield pa.RecordBatch.from_arrays([batch.column(5).slice(1), pa.array(out, turn)], ["row", "turns"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a segment together; one is held at a time."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        at = 0
+        for i in [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]:
+            if i <= at:
+                continue
+            if held and keys[at] != key:
+                yield pa.concat_batches(held)
+                held = []
+            key = keys[at]
+            held.append(batch.slice(at, i - at))
+            at = i
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _ordered(df: DataFrame, *cols: str) -> DataFrame:
@@ -194,7 +213,7 @@ def _ordered(df: DataFrame, *cols: str) -> DataFrame:
 def _pieces(rows: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
     return rows.withColumns(
         {
-            "conv": F.coalesce(F.col(conv).cast("string"), F.lit("")),
+            "conv": F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("")),
             "turn": F.coalesce(F.col(turn).cast("long"), F.lit(0)),
             "text": F.coalesce(F.col(text), F.lit("")),
         }
@@ -213,31 +232,32 @@ def fit(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str =
     return Model(flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:].reshape(STATES, SYMBOLS))
 
 
-def parse(rows: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Add ``turns``: the piece's (role, text without marker, opens, first line in
-    the piece, lines) in order.
+def parse(rows: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ``turns`` to the columns ``keep`` of ``rows`` (all if None): the piece's (role,
+    text without marker, opens, first line in the piece, lines) in order.
 
     A row is a piece of a transcript, whole lines of any number of turns, in the order of
     ``turn`` (null: 0; ties by text); a piece that goes on with the turn before has a first
     element that does not open one. Where pieces end is not taken as a sign of a turn.
-    Null text is an empty piece; a null conversation is one of its own, as the empty name;
-    repeated rows are pieces each; other columns stay, ``turns`` is replaced; an empty
-    table gives an empty result.
+    Null text is an empty piece; a null conversation is one of its own;
+    repeated rows are pieces each; other columns stay, under any name, ``turns`` is
+    replaced; an empty table gives an empty result. A segment has the pieces of ``SEGMENT``
+    values of ``turn``, and is held by one task.
     """
     spark = rows.sparkSession
-    scratch = Scratch(spark, "chat")
     sent = spark.sparkContext.broadcast(model)  # a fixed number of parameters
-    kept = [c for c in rows.columns if c not in ("turns", "chat_row")]
-    base = scratch.table(rows.select(*[F.col(f"`{c}`") for c in kept]).withColumn("chat_row", F.monotonically_increasing_id()), "rows")
-    pieces = scratch.table(_pieces(base, conv, turn, text).select("conv", "seg", "turn", "text", "chat_row"), "pieces")
+    kept = [c for c in (rows.columns if keep is None else keep) if c != "turns"]
+    base = rows.select(packed(kept), column(conv).alias("conv"), column(turn).alias("turn"), column(text).alias("text"))
+    scratch = Scratch(spark, "chat")
+    pieces = scratch.table(_pieces(base, "conv", "turn", "text"), "pieces")  # read twice
     mats = _ordered(pieces, "turn", "text").mapInArrow(partial(_matrix_batches, model=sent), "conv string, seg long, m array<double>, begin array<double>")
     borders = mats.repartition("conv").sortWithinPartitions("conv", "seg").mapInArrow(_border_batches, "conv string, seg long, entry int, exit int")
-    borders = scratch.table(borders, "borders")
-    joined = pieces.join(borders, ["conv", "seg"]).sortWithinPartitions("conv", "seg", "turn", "text", "chat_row")
-    joined = joined.select("conv", "seg", "turn", "text", "chat_row", "entry", "exit")
-    joined = joined.repartition("conv", "seg").sortWithinPartitions("conv", "seg", "turn", "text", "chat_row").select("conv", "seg", "entry", "exit", "turn", "text", "chat_row")
-    turns = joined.mapInArrow(partial(_decode_batches, model=sent), "chat_row long, turns array<struct<role:string,text:string,opens:boolean,line:long,n_lines:long>>")
-    return base.join(turns, "chat_row", "left").drop("chat_row")
+    borders = scratch.table(borders, "borders").withColumn("piece", F.lit(False))
+    # borders come first in their segment, so that no join moves the texts once more
+    both = pieces.withColumn("piece", F.lit(True)).unionByName(borders, allowMissingColumns=True).withColumn("tie", F.xxhash64("row"))
+    dealt = both.repartition("conv", "seg").sortWithinPartitions("conv", "seg", "piece", "turn", "text", "tie").select("conv", "seg", "entry", "exit", "text", "row")
+    turns = "turns array<struct<role:string,text:string,opens:boolean,line:long,n_lines:long>>"
+    return dealt.mapInArrow(partial(_decode_batches, model=sent), extended([base.schema["row"]], turns)).select(*unpacked(kept), "turns")
 
 
 def transcripts(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
@@ -246,7 +266,7 @@ def transcripts(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     ``ROLES`` (-1: another or null), plus one unless the line opens its turn.
 
     Turns follow in the order of ``turn`` (null: 0; ties by text and role); null text is an
-    empty line; a null conversation is the empty name's; repeated rows are turns each.
+    empty line; a null conversation is one of its own; repeated rows are turns each.
     """
     place = F.coalesce(*[F.when(F.col("role") == r, i) for i, r in enumerate(ROLES)], F.lit(-1))
     turns = _pieces(rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(text).alias("text"), F.col(role).alias("role")), "conv_id", "turn", "text")

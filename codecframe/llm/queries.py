@@ -63,7 +63,7 @@ def op8_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("text", F.concat(chat.mark(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")), gap))
     held_out = langid.fold(F.col("conv_id"), 4) == 2
     model = chat.fit(rows.where(~held_out))
-    out = chat.parse(chat.transcripts(rows), model, turn="piece").select("conv_id", "piece", "truth", F.explode("turns").alias("t"))
+    out = chat.parse(chat.transcripts(rows), model, turn="piece", keep=["conv_id", "piece", "truth"]).select("conv_id", "piece", "truth", F.explode("turns").alias("t"))
     of = F.slice("truth", (F.col("t.line") + 1).cast("int"), F.col("t.n_lines").cast("int"))
     place = F.array_position(F.array(*map(F.lit, chat.ROLES)), F.col("t.role")) - 1
     return out.withColumns({"held_out": held_out, "of": of, "place": place}).select(
