@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecframe.llm import textscan as ts
+from codecframe.llm.rows import column, extended, packed, unpacked
 from codecframe.llm.store import Scratch
 
 U = np.uint64
@@ -199,8 +200,8 @@ def _overlap_batches(batches: Iterator[pa.RecordBatch], index: object, item_type
 
 def _clean_batches(batches: Iterator[pa.RecordBatch], index: object) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = pa.array([not index.value.hit(h) for h in token_hashes(batch.column(batch.num_columns - 1))], pa.bool_())
-        yield batch.select(range(batch.num_columns - 1)).filter(keep)
+        keep = pa.array([not index.value.hit(h) for h in token_hashes(batch.column(1))], pa.bool_())
+        yield batch.filter(keep)
 
 
 def indexes(tests: DataFrame, text: str, item_id: str) -> Iterator[object]:
@@ -210,12 +211,12 @@ def indexes(tests: DataFrame, text: str, item_id: str) -> Iterator[object]:
     ``BLOCK_TOKENS``, whatever the size of the test side.
     """
     spark = tests.sparkSession
-    rows = tests.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where("text is not null")
-    kind = rows.schema["item"].dataType.simpleString()
-    pieces = Scratch(spark, "decontam").table(rows.mapInArrow(piece_batches, f"item {kind}, tokens array<long>"), "pieces")
+    rows = tests.select(column(item_id).alias("item"), column(text).alias("text")).where("text is not null")
+    pieces = rows.mapInArrow(piece_batches, extended(rows.schema.fields[:1], "tokens array<long>")).distinct()
+    pieces = Scratch(spark, "decontam").table(pieces, "pieces")
     total = pieces.agg(F.sum(F.size("tokens"))).first()[0] or 0
     blocks = -(-total // BLOCK_TOKENS)
-    block = F.pmod(F.xxhash64("tokens"), F.lit(max(blocks, 1)))
+    block = F.pmod(F.xxhash64("item", "tokens"), F.lit(max(blocks, 1)))
     for b in range(blocks):
         got = pieces.where(block == b).collect()  # about BLOCK_TOKENS tokens
         if got:
@@ -231,9 +232,9 @@ def overlaps(docs: DataFrame, tests: DataFrame, text: str = "text", doc_id: str
     wherever all of it stands. Null texts and those without tokens match nothing; repeated rows give repeated results; repeated test texts each
     match; extra columns are ignored; an empty table on either side gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind, item = rows.schema["doc_id"].dataType.simpleString(), tests.select(F.col(item_id).alias("item_id"))
-    schema = f"doc_id {kind}, item_id {item.schema['item_id'].dataType.simpleString()}, n_agree long, doc_token long"
+    rows = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
+    item = tests.select(column(item_id).alias("item_id"))
+    schema = extended([rows.schema["doc_id"], item.schema["item_id"]], "n_agree long, doc_token long")
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(item.schema["item_id"].dataType)
@@ -249,8 +250,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, text: str = "text", test_te
 
     Null and empty texts stay. See ``overlaps`` for the rule.
     """
-    out = docs
+    out = docs.select(packed(docs.columns), column(text).alias("text"))
     for index in indexes(tests, test_text, item_id):
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        out = out.select("*", F.col(text).alias("decontam_text")).mapInArrow(partial(_clean_batches, index=index), schema)
-    return out
+        out = out.mapInArrow(partial(_clean_batches, index=index), out.schema)
+    return out.select(*unpacked(docs.columns))

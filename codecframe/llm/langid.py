@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecframe.llm.rows import column, extended, packed, unpacked
+
 #: Hash buckets of the n-grams, and the orders counted.
 BUCKET_BITS, ORDERS = 16, (1, 2, 3)
 BUCKETS = 1 << BUCKET_BITS
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     The model's size grows with the languages: more than ``most_languages`` are an error,
     none is left out. Without any row the model answers ``und``.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    rows = docs.select(column(text).alias("text"), column(lang).alias("lang")).where("text is not null and lang is not null")
     h = F.xxhash64(F.lit(11), "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(h).alias("n")).limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
@@ -180,9 +182,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets by languages: bounded
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    cols = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("lang_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
-    return cols.mapInArrow(partial(_predict_batches, model=sent), f"{schema}{', ' if schema else ''}lang_pred string, score double")
+    cols = docs.select(packed(kept), column(text).alias("text"))
+    told = cols.mapInArrow(partial(_predict_batches, model=sent), extended(cols.schema.fields[:1], "lang_pred string, score double"))
+    return told.select(*unpacked(kept), "lang_pred", "score")
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -6,18 +6,26 @@ size to decide on a broadcast by.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_private: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is set (tests)."""
+    """The cluster's shared folder; in local mode, where one machine is all, a private one
+    if none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="codecframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _private:
+            _private.append("file://" + tempfile.mkdtemp(prefix="codecframe-"))
+        path = _private[0]
     return path.rstrip("/")
 
 

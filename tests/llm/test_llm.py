@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codecframe.llm import chat, decontam, fingerprint, jaccard, langid, lattice, linededup, mixing, resample, warc
 from codecframe.llm import textscan as ts
+from codecframe.llm.store import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(3)
@@ -399,3 +400,111 @@ def test_line_dedup_and_mix(spark):
         of = [r for r in out if r["source"] == s]
         assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 6 and all(r["taken"] <= 2 * r["size"] for r in of)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+#: Names that operators use for themselves, or once did, and some that need quoting.
+CLASHES = """prefix rest rounds plan_source mix_key mix_size drop_pos d_doc ln_doc ln_row k b s lm_words dsir_hash dsir_key chat_row conv seg
+row id hash order part extra h first words known base page bits match at learn place owner pos line item tokens node label n star hub u v""".split() + ["a b", "x`y", "a.b", "ä"]
+KEEP = {
+    "decontaminate": lambda d: decontam.decontaminate(d, d.sparkSession.createDataFrame([(1, "no such passage anywhere at all")], "item_id long, text string")),
+    "score": lambda d: lattice.score(d, F.col("doc_id") > 1, "/opt/tokenizers/piece_bpe_32k.model", steps=1),
+    "identify": lambda d: langid.identify(d, langid.fit(d)),
+    "resample": lambda d: resample.resample(d, np.zeros(resample.BUCKETS), 10**6),
+    "dedup_lines": linededup.dedup_lines,
+    "parse": lambda d: chat.parse(d, chat.fit(d.withColumn("role", F.lit("user")), conv="source", turn="doc_id"), conv="source", turn="doc_id"),
+    "mix": mixing.mix,
+}
+DROP = {
+    "overlaps": lambda d: decontam.overlaps(d, d.where("text is not null").limit(1), item_id="doc_id"),
+    "compare_neighbours": fingerprint.compare_neighbours,
+    "archive_and_read": lambda d: warc.archive_and_read(d, "doc_id", "source", "text"),
+    "near_components": jaccard.near_components,
+}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and blank texts, repeated rows, equal texts, clashing columns."""
+    line = "a line that is long enough"
+    rows = [(1, line, "en", "s"), (1, line, "en", "s"), (2, line, "en", None), (None, line, None, "s"), (None, None, None, None), (None, None, None, None)]
+    rows += [(3, "", "fr", "s"), (4, " \n\t", "fr", ""), (5, "user: hi\nassistant: ho", None, "s"), (5, "other text of this one", "en", "s"), (6, "w " * 30_000, "en", "t")]
+    df = spark.createDataFrame([(*r, i // 2) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.select("*", *[F.lit(f"of {c}").alias(c) for c in CLASHES])
+
+
+@pytest.mark.parametrize("name", sorted(KEEP))
+def test_rows_are_kept_with_all_their_columns(odd, name):
+    plain = lambda d: sorted(str([r[c] for c in odd.columns]) for r in d.collect())
+    out = KEEP[name](odd)
+    assert plain(out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in odd.columns])) == plain(odd)
+    assert KEEP[name](odd.limit(0)).count() == 0
+    again = KEEP[name](odd.repartition(3))
+    more = [c for c in out.columns if c not in odd.columns]
+    values = lambda d: sorted(str((r["doc_id"], r["text"], [round(r[c], 6) if isinstance(r[c], float) else r[c] for c in more])) for r in d.collect())
+    if name != "parse":  # rows that tie have no order
+        assert values(out) == values(again)
+
+
+@pytest.mark.parametrize("name", sorted(DROP))
+def test_odd_rows_have_results(odd, name):
+    out = DROP[name](odd).collect()
+    if name != "overlaps":
+        key = "page_id" if name == "archive_and_read" else "doc_id"
+        assert sorted(str(r[key]) for r in out) == sorted(str(r["doc_id"]) for r in odd.collect())
+    assert DROP[name](odd.limit(0)).count() == 0
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(map(str, DROP[name](plain).collect())) == sorted(map(str, out))
+
+
+def test_fingerprints_and_chunks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_A_PART", 3)
+    r = random.Random(11)
+    rows = [(i * 7 % 40 if i % 9 else None, prose(r.randint(0, 90), r) if i % 5 else "é𠀀" * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name in (None, "text"):
+        table = df if name is None else df.withColumn("doc_id", F.concat(F.lit("d"), F.coalesce("doc_id", F.lit(-1))))
+        h = {(x["doc_id"], x["text"]): x["h"] for x in table.withColumn("h", F.xxhash64("text")).collect()}
+        order = sorted(h, key=lambda k: (k[0] is not None, k[0] or 0, h[k]) if name is None else (k[0], h[k]))
+
+        def weights(text):
+            data, out, last = text.encode(), {}, 0
+            for end in range(1, len(data) + 1):
+                gear = sum(int(fingerprint._gear[data[end - 1 - age]]) << age for age in range(min(32, end))) % 2**32
+                n = end - last
+                cut = n >= fingerprint.LEAST and not gear & int(fingerprint.STRICT if n < fingerprint.NORMAL else fingerprint.LOOSE)
+                if cut or n == fingerprint.MOST or end == len(data):
+                    d = int(ts.span_hashes(np.frombuffer(data, np.uint8), np.array([last]), np.array([end]))[0]) >> 24
+                    out[d] = out.get(d, 0) + n
+                    last = end
+            return out
+
+        def like(a, b):
+            share = lambda x, y: sum(min(n, y.get(k, 0)) for k, n in x.items()) / sum(x.values()) if x else 1.0
+            return min(share(a, b), share(b, a))
+
+        want = []
+        for k, (i, text) in enumerate(order):
+            after = order[(k + 1) % len(order)][1]
+            q = len(text) // 4
+            edited = text[: len(text) - q] + after[:q]
+            fp, efp = weights(text), weights(edited)
+            want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.to_string(fp), fingerprint.to_string(efp), like(fp, efp), like(fp, weights(after))))
+        assert sorted(map(str, map(tuple, fingerprint.compare_neighbours(table).collect()))) == sorted(map(str, want))
+
+
+def test_warc_escapes_identifiers(spark):
+    rows = [("a\r\nX-Page: b", "u", "p" * 100), ("ü % + ", "u", "p" * 100), ("", "u", "p"), (None, "u", "q")]
+    out = warc.archive_and_read(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted(str(r["page_id"]) for r in out) == sorted(str(r[0]) for r in rows) and all(r["whole"] for r in out)
+    assert {r["refers_to"] for r in out} == {None, "a\r\nX-Page: b"}
+
+
+def test_tables_left_behind(spark, docs):
+    left = Scratch(spark, "test")
+    before = len(left.paths)
+    jaccard.near_components(docs).count()
+    t = left.table(docs.select("doc_id"), "t")
+    left.keep(t)
+    assert len(left.paths) == before + 1
+    left.drop(t)
+    assert left.paths == []
