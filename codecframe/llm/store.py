@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_sweeps: list[list] = []
+
+
+@contextmanager
+def swept() -> Iterator[None]:
+    """Delete all tables of operators that are called inside, once their results are written."""
+    held: list[Scratch] = []
+    _sweeps.append(held)
+    try:
+        yield
+    finally:
+        _sweeps.remove(held)
+        for scratch in held:
+            scratch.keep()
+
+
 class Scratch:
     """Named intermediate tables of one operator call.
 
@@ -40,6 +58,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/codecframe-{label}-{uuid.uuid4().hex}"
         self.n, self.paths = 0, []
+        for held in _sweeps:
+            held.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1
