@@ -72,7 +72,7 @@ def stages(spark):
     r = random.Random(1)
     some = [x["text"] for x in docs.where("length(text) > 200").orderBy("doc_id").limit(3).collect()]
     rows = [(900_001, None, "en", "s", 0), (900_002, "", "en", None, 0), (900_003, some[0], "en", "s", 0), (900_004, some[1] + " more", None, None, 0), (900_005, " ".join(r.sample(some[2].split(), 40)), "en", "s", 0)]
-    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumn("row", F.lit("kept"))
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns({"row": F.lit("kept"), "n_lines": F.lit("kept"), "score": F.lit("kept")})
     out = {}
     for name, stage in corpus_pipeline.STAGES:
         df = stage(spark, docs, SF)
@@ -85,7 +85,7 @@ def stages(spark):
 def test_stages_match_brute_force(spark, stages):
     for name, (before, after, columns) in stages.items():
         assert len(after) and (name == "source_mix" or after[0].__fields__ == columns), name
-        assert {r["row"] for r in after} == {"kept"}
+        assert {r[c] for r in after for c in ("row", "n_lines", "score")} == {"kept"}
     before, after, _ = stages["language_id"]
     gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in after}
     assert {900_001, 900_002} <= gone and len(gone) <= 2 + sum(not langid.has_letter(r["text"]) for r in before) + 0.02 * len(before)
