@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecframe.llm import decontam, jaccard, langid, linededup, mixing
-from codecframe.llm.rows import packed, unpacked
+from codecframe.llm.rows import column, packed, unpacked
 from codecframe.llm.store import Scratch, swept
 
 #: Predictions below this probability reject a document.
@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alike; without such texts, or of an empty table, nothing stays.
     """
     model = langid.fit(docs.where(langid.fold(F.col("doc_id"), 4) != 2))
-    told = langid.identify(docs.select(packed(docs.columns), "text"), model)
+    told = langid.identify(docs.select(packed(docs.columns), "text"), model, keep=["row"])
     return told.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*unpacked(docs.columns))
 
 
@@ -35,9 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one identifier are one document; null identifiers come last, as one; null text
     becomes empty. ``n_chars`` follows the text; other columns stay.
     """
-    out = linededup.dedup_lines(docs.select(packed(docs.columns), "doc_id", "text"))
+    old = {c: f"{c} before" for c in ("kept_text", "n_lines", "n_dropped") if c in docs.columns}
+    out = linededup.dedup_lines(docs.withColumnsRenamed(old))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return out.select(*[(new[c] if c in new else column(old.get(c, c))).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
