@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations, product
 
 import numpy as np
@@ -75,7 +76,10 @@ def test_jaccard_matches_brute_force(table, sizes, request, monkeypatch):
     for name, value in sizes.items():
         monkeypatch.setattr(jaccard, name, value)
     docs = request.getfixturevalue(table)
-    for k, percent in ((3, 90), (5, 80)):
+    rules = (3, 90), (5, 80)
+    with ThreadPoolExecutor() as pool:  # small jobs wait for the driver more than they compute
+        found = list(pool.map(lambda rule: jaccard.near_components(docs, *rule).collect(), rules))
+    for (k, percent), rows in zip(rules, found, strict=True):
         sets, parent = {}, {}
         for r in docs.collect():
             w = words(r["text"])
@@ -90,7 +94,7 @@ def test_jaccard_matches_brute_force(table, sizes, request, monkeypatch):
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(docs, k, percent).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
         assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
