@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codecframe.llm import chat, decontam, fingerprint, jaccard, langid, lattice, linededup, mixing, resample, warc
+from codecframe.llm import chat, decontam, fingerprint, graph, jaccard, langid, lattice, linededup, mixing, resample, warc
 from codecframe.llm import textscan as ts
 from codecframe.llm.store import Scratch
 
@@ -512,3 +512,28 @@ def test_tables_left_behind(spark, docs):
     assert len(left.paths) == before + 1
     left.drop(t)
     assert left.paths == []
+
+
+@pytest.mark.parametrize("few, tables", [(graph.FEW, 2), (100, None), (0, None)])
+def test_components_of_small_graphs_take_few_tables(spark, monkeypatch, few, tables):
+    r = random.Random(5)
+    name = [r.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+    edges = [(name[i], name[i + 1]) for i in range(150)]  # a chain
+    edges += [(name[200], name[i]) for i in range(201, 300)]  # a star
+    edges += [(name[i], name[j]) for i, j in (r.sample(range(300, 400), 2) for _ in range(60))]
+    edges += [(v, u) for u, v in edges[::3]] + edges[::5] + [(name[199], name[199])]
+    want = {x: x for e in edges for x in e if e[0] != e[1]}
+    for u, v in edges:
+        if u != v and want[u] != want[v]:
+            a, b = want[u], want[v]
+            want = {x: a if y == b else y for x, y in want.items()}
+    monkeypatch.setattr(graph, "FEW", few)
+    written, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: written.append(name) or table(self, df, name))
+    got = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3), scratch := Scratch(spark, "test"))
+    got = {x["node"]: x["label"] for x in got.collect()}
+    groups = lambda of: {frozenset(x for x in of if of[x] == y) for y in of.values()}
+    assert groups(got) == groups(want)
+    assert tables is None or len(written) <= tables, written
+    assert graph.components(spark.createDataFrame([], "u long, v long"), scratch).collect() == []
+    scratch.keep()
