@@ -467,7 +467,8 @@ def exact_links(rows: DataFrame, links: DataFrame, ids: DataFrame, k: int, perce
     if failed.isEmpty():
         return good
     groups = components(told, scratch)
-    wrong = groups.join(failed.select(F.col("u").alias("node")), "node").select("label").distinct()
+    # written, so that a small one is sent out and the groups, of which one may be large, are not dealt by label
+    wrong = scratch.table(groups.join(failed.select(F.col("u").alias("node")), "node").select("label").distinct(), "wrong")
     again = scratch.table(groups.join(wrong, "label", "left_semi").join(ids, "node").select("node", F.col("label").alias("blob"), "member_id"), "again")
     texts = with_matches(rows, again, "doc_id", "member_id", scratch).select("node", "blob", "text")
     loaded = scratch.table(texts.mapInArrow(partial(load_batches, k=k, percent=percent), "node long, blob long, band int, up boolean, n long, payload binary"), "loaded")
