@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecframe.llm import textscan as ts
-from codecframe.llm.rows import column, extended, packed, unpacked
+from codecframe.llm.rows import column, extended, packed, place, unpacked
 from codecframe.llm.store import Scratch
 
 U = np.uint64
@@ -198,9 +198,9 @@ def _overlap_batches(batches: Iterator[pa.RecordBatch], index: object, item_type
         )
 
 
-def _clean_batches(batches: Iterator[pa.RecordBatch], index: object) -> Iterator[pa.RecordBatch]:
+def _clean_batches(batches: Iterator[pa.RecordBatch], index: object, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = pa.array([not index.value.hit(h) for h in token_hashes(batch.column(1))], pa.bool_())
+        keep = pa.array([not index.value.hit(h) for h in token_hashes(batch.column(0).field(at))], pa.bool_())
         yield batch.filter(keep)
 
 
@@ -248,9 +248,10 @@ def overlaps(docs: DataFrame, tests: DataFrame, text: str = "text", doc_id: str
 def decontaminate(docs: DataFrame, tests: DataFrame, text: str = "text", test_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """The rows of ``docs``, all columns, that share no window with any test text.
 
-    Null and empty texts stay. See ``overlaps`` for the rule.
+    Null and empty texts stay. See ``overlaps`` for the rule. Each text goes to Python
+    once, inside its row.
     """
-    out = docs.select(packed(docs.columns), column(text).alias("text"))
+    out, at = docs.select(packed(docs.columns)), place(docs.columns, text)
     for index in indexes(tests, test_text, item_id):
-        out = out.mapInArrow(partial(_clean_batches, index=index), out.schema)
+        out = out.mapInArrow(partial(_clean_batches, index=index, at=at), out.schema)
     return out.select(*unpacked(docs.columns))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codecframe.llm.rows import column, extended, packed, unpacked
+from codecframe.llm.rows import column, extended, packed, place, unpacked
 
 #: Hash buckets of the n-grams, and the orders counted.
 BUCKET_BITS, ORDERS = 16, (1, 2, 3)
@@ -167,10 +167,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     return Model(languages, idf.astype(np.float32), w.astype(np.float32), t)
 
 
-def _predict_batches(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
+def _predict_batches(batches: Iterator[pa.RecordBatch], model: object, at: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [model.value.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+        found = [model.value.predict(t.as_py()) for t in (batch.column(1) if at is None else batch.column(0).field(at))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["row", "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -180,11 +180,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     ``und`` with score 0; columns of the two names are replaced; equal texts get equal
     answers; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets by languages: bounded
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    cols = docs.select(packed(kept), column(text).alias("text"))
-    told = cols.mapInArrow(partial(_predict_batches, model=sent), extended(cols.schema.fields[:1], "lang_pred string, score double"))
-    return told.select(*unpacked(kept), "lang_pred", "score")
+    at = place(kept, text)
+    cols = docs.select(packed(kept), *([column(text).alias("text")] if at is None else []))
+    return identified(cols, model, at).select(*unpacked(kept), "lang_pred", "score")
+
+
+def identified(rows: DataFrame, model: Model, at: int | None) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` to the struct ``row``, whose field ``at`` is the text
+    (None: it is the second column); so a text that stays goes to Python once."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # buckets by languages: bounded
+    return rows.mapInArrow(partial(_predict_batches, model=sent, at=at), extended(rows.schema.fields[:1], "lang_pred string, score double"))
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by hash-threshold histograms (DataFrame functions only).
 
 Every document gets a fixed pseudo-random 60-bit key. For each source the sizes are
-summed by key bucket; the bucket in which the running sum crosses the source's budget is
-refined with the next 15 bits, until it holds one key. Documents below the threshold are
-taken once more than those above. Nothing is sorted but bucket sums, of which a task has
-at most 2^8 of a source, and no document is moved between tasks to be chosen.
+summed by the key's first 15 bits; the bucket in which the running sum crosses the
+source's budget, a 2^15th of its keys, is then summed by key. Documents below the
+threshold are taken once more than those above. Nothing is sorted but bucket sums, in
+ranges of buckets: a window has at most 2^15 ranges of a source, and of the buckets of a
+range 2^8, of its keys a 2^30th of the source's. No document is moved between tasks to be
+chosen.
 """
 
 from __future__ import annotations
@@ -17,16 +19,21 @@ from codecframe.llm.rows import column, packed, unpacked
 from codecframe.llm.store import Scratch
 
 #: A word is a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = " \t\n\x0b\x0c\r"
+WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 WEIGHTS = (3, 1, 2)
-LEVEL_BITS, LEVELS = 15, 4
-#: Buckets of a range, whose sums are summed in turn.
-RANGE = 1 << 8
+#: Of each level the key's bits left after it, and the bits of a range's buckets, whose sums are summed in turn.
+LEVELS = ((45, 8), (0, 30))
+KEY_BITS = 60
 
 
 def word_count(text: Column) -> Column:
-    """Number of words; null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words; null text has none.
+
+    Each word becomes one character: ``regexp_count`` makes an array of all words of a
+    text and several objects a word.
+    """
+    return F.coalesce(F.length(F.ltrim(F.regexp_replace(text, WORD, "x"), F.lit(SPACE))), F.lit(0)).cast("long")
 
 
 def mixing_key(doc_id: Column, text: Column) -> Column:
@@ -99,8 +106,9 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
         .withColumn("prefix", F.lit(0).cast("long")),
         "plan",
     )
-    for level in range(1, LEVELS + 1):
-        plan = refine(sizes, plan, level, scratch)
+    above = KEY_BITS
+    for left, wide in LEVELS:
+        plan, above = refine(sizes, plan, above, left, wide, scratch), left
     plan = plan.withColumnRenamed("mix_source", "plan_source")
     out = keyed.join(plan, F.col("mix_source").eqNullSafe(F.col("plan_source")), "left")
     extra = F.when(F.col("mix_key") < F.col("prefix"), 1).otherwise(0)
@@ -108,18 +116,17 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     return out.select(*unpacked(kept), F.col("mix_size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
-def refine(sizes: DataFrame, plan: DataFrame, level: int, scratch: Scratch) -> DataFrame:
-    """Add 15 bits to each source's threshold.
+def refine(sizes: DataFrame, plan: DataFrame, above: int, left: int, wide: int, scratch: Scratch) -> DataFrame:
+    """Narrow each source's threshold from the bits before the last ``above`` to those before the last ``left``.
 
-    ``prefix`` is the first ``(level - 1) * 15`` bits of the boundary bucket and ``rest``
-    the words still to take inside it. The last level rounds to the nearer key boundary
-    and returns the threshold itself.
+    ``prefix`` is the boundary bucket and ``rest`` the words still to take inside it;
+    ``wide`` is the bits of a range's buckets. The last level, with no bits left, rounds
+    to the nearer key boundary and returns the threshold itself.
     """
-    left = (LEVELS - level) * LEVEL_BITS
     p = plan.select(F.col("mix_source").alias("p_source"), "prefix", "rest")
-    inside = sizes.join(p, F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.shiftright("mix_key", left + LEVEL_BITS) == F.col("prefix")))
+    inside = sizes.join(p, F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.shiftright("mix_key", above) == F.col("prefix")))
     sums = inside.groupBy("mix_source", "rest", F.shiftright("mix_key", left).alias("bucket")).agg(F.sum("mix_size").alias("words"))
-    sums = scratch.table(sums.withColumn("range", F.floor(F.col("bucket") / RANGE)), f"sums{level}")
+    sums = scratch.table(sums.withColumn("range", F.shiftright("bucket", wide)), f"sums{left}")
     before = W.partitionBy("mix_source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = sums.groupBy("mix_source", "range").agg(F.sum("words").alias("words"))
     ranges = ranges.select(F.col("mix_source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
@@ -134,11 +141,11 @@ def refine(sizes: DataFrame, plan: DataFrame, level: int, scratch: Scratch) -> D
         F.min_by("words", F.when(passed, F.col("bucket"))).alias("words"),
         F.max("bucket").alias("last"),
     )
-    if level < LEVELS:
+    if left:
         nxt, rest = F.coalesce("bucket", F.col("last")), F.coalesce("left_over", F.lit(float("inf")))
     else:
         nxt, rest = F.when(F.col("bucket").isNull(), F.col("last") + 1).when(F.col("left_over") * 2 >= F.col("words"), F.col("bucket") + 1).otherwise(F.col("bucket")), F.lit(0.0)
     step = step.select(F.col("mix_source").alias("s_source"), nxt.alias("prefix"), rest.alias("rest"))
     kept = plan.drop("prefix", "rest")
     out = kept.join(step, F.col("mix_source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
-    return scratch.table(out, f"level{level}")
+    return scratch.table(out, f"level{left}")

@@ -26,6 +26,12 @@ def unpacked(names: list[str]) -> list[Column]:
     return [F.col("row").getField(n).alias(n) for n in names]
 
 
+def place(names: list[str], name: str) -> int | None:
+    """Where the column ``name`` is among ``names``; as in Spark, case decides only if it must."""
+    at = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    return at[0] if at else None
+
+
 def extended(fields: list[StructField], more: str) -> StructType:
     """A schema of ``fields`` and those of a DDL string."""
     return StructType([*fields, *StructType.fromDDL(more).fields])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codecframe.llm import decontam, langid, queries
+from codecframe.llm import decontam, langid, mixing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -137,3 +137,41 @@ def test_queries_match_brute_force(spark):
     turns = q["op8_chat_turns"](spark, SF)
     lines, right = turns.where("held_out").agg(F.sum("n_lines"), F.sum("lines_right")).first()
     assert right >= 0.85 * lines > 0 and not math.isnan(right)
+
+
+def allocated(spark):
+    """Bytes that the JVM's task threads have allocated."""
+    threads = spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+    ids = [t.getThreadId() for t in threads.getThreadInfo(threads.getAllThreadIds()) if t and t.getThreadName().startswith("Executor task")]
+    return sum(map(threads.getThreadAllocatedBytes, ids))
+
+
+def test_mix_counts_words_in_little_memory(spark, tmp_path):
+    odd = [None, "", " ", " \t\n\x0b\x0c\r", "x", " x x x ", "a\x1cb c d", "é\U00020000 \n\n 一\x00 e\r", "  xx  x", "x" * 9, "a\x85b $1 \\ c"]
+    got = spark.createDataFrame(list(enumerate(odd)), "i int, text string").select("i", mixing.word_count(F.col("text")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(odd)}
+    texts = spark.range(200).select(F.repeat(F.concat(F.col("id").cast("string"), F.lit(" words in a row\n")), 5_000).alias("text"))
+    texts.write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    used = []
+    for kind in (F.length("text").cast("long"), mixing.word_count(F.col("text"))):
+        texts.agg(F.sum(kind)).first()  # compiled, and the threads there
+        before = allocated(spark)
+        size = texts.agg(F.sum(kind)).first()[0]
+        used.append((allocated(spark) - before, size))
+    assert used[1][1] == 200 * 5_000 * 5
+    assert used[1][0] - used[0][0] < 40 * used[0][1]  # a word has four characters here
+
+
+def test_mix_writes_few_tables(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(mixing.Scratch, "table", lambda self, df, name, table=mixing.Scratch.table: (written.append(name), table(self, df, name))[1])
+    corpus_pipeline.source_mix(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
+    assert len(written) == 7, written
+
+
+def test_stages_send_a_text_to_python_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.decontamination):
+        sent = re.findall(r"MapInArrow \w+\((.*?)\)", stage(spark, docs, SF)._jdf.queryExecution().analyzed().toString())
+        assert sent and all(re.fullmatch(r"row#\d+", x) for x in sent), sent
