@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,11 @@ from codecframe.status import OK, CodecError
 
 RESULT = "struct<status:string,detail:string,data:binary,bytes_in:long,bytes_out:long,rest:long>"
 _result = pa.struct([("status", pa.string()), ("detail", pa.string()), ("data", pa.binary()), ("bytes_in", pa.int64()), ("bytes_out", pa.int64()), ("rest", pa.int64())])
+#: A codec_result without its data.
+VERIFIED = "struct<status:string,detail:string,bytes_in:long,bytes_out:long,rest:long>"
+_verified = pa.struct([f for f in _result if f.name != "data"])
+#: Bytes of results that a worker holds, and one value's, before it hands them on.
+HELD = 4 << 20
 
 
 def result(method: str, side: str, data: bytes, options: Options, reg: registry.Registry | None = None) -> dict:
@@ -23,19 +30,52 @@ def result(method: str, side: str, data: bytes, options: Options, reg: registry.
         return {"status": e.status, "detail": e.detail, "data": None, "bytes_in": len(data), "bytes_out": 0, "rest": 0}
 
 
-def _codec(col: Column, method: str, side: str, options: dict | None, reg: registry.Registry | None) -> Column:
+def verified(method: str, data: bytes, options: Options, reg: registry.Registry | None = None) -> dict:
+    """One value's ``result`` of decoding, without the data."""
+    try:
+        size, rest = registry.measure(method, "decoder", data, options, reg)
+        return {"status": OK, "detail": "", "bytes_in": len(data), "bytes_out": size, "rest": rest}
+    except CodecError as e:
+        return {"status": e.status, "detail": e.detail, "bytes_in": len(data), "bytes_out": 0, "rest": 0}
+
+
+def _handed_on(results: Iterable[dict | None]) -> Iterator[pa.Array]:
+    """Results as arrays of about ``HELD`` bytes: a batch of small values may decode to any size."""
+    rows, size = [], 0
+    for r in results:
+        rows.append(r)
+        size += len(r["data"]) if r and r["data"] else 0
+        if size >= HELD:
+            yield pa.array(rows, _result)
+            rows, size = [], 0
+    if rows:
+        yield pa.array(rows, _result)
+
+
+def _checked(method: str, side: str, options: dict | None, reg: registry.Registry | None) -> tuple[Options, list[registry.Method] | None]:
+    """Options and methods to send to workers; bad names and options fail before the plan is built."""
     opts = Options(options)
-    (reg or registry.DEFAULT).create(method, side, opts)  # bad names and options fail before the plan is built
-    methods = None if reg is None else [reg.find(n) for n in reg.names()]
+    (reg or registry.DEFAULT).create(method, side, opts)
+    return opts, None if reg is None else [reg.find(n) for n in reg.names()]
+
+
+def _registry(methods: list[registry.Method] | None) -> registry.Registry | None:
+    if methods is None:
+        return None
+    r = registry.Registry()
+    for m in methods:
+        r.register(m)
+    return r
+
+
+def _codec(col: Column, method: str, side: str, options: dict | None, reg: registry.Registry | None) -> Column:
+    opts, methods = _checked(method, side, options, reg)
 
     @F.arrow_udf(RESULT)
-    def apply(values: pa.Array) -> pa.Array:
-        r = None
-        if methods is not None:
-            r = registry.Registry()
-            for m in methods:
-                r.register(m)
-        return pa.array([None if v is None else result(method, side, v, opts, r) for v in (x.as_py() for x in values)], _result)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        r = _registry(methods)
+        for values in batches:
+            yield from _handed_on(None if v is None else result(method, side, v, opts, r) for v in (x.as_py() for x in values))
 
     return apply(col.cast("binary"))
 
@@ -50,23 +90,43 @@ def decode(col: Column, method: str, options: dict | None = None, reg: registry.
     return _codec(col, method, "decoder", options, reg)
 
 
+def verify(col: Column, method: str, options: dict | None = None, reg: registry.Registry | None = None) -> Column:
+    """``decode``'s result without the data: each step's output is dropped once it is counted.
+
+    Several of one ``select`` share a worker, while each ``encode`` or ``decode`` has its own.
+    """
+    opts, methods = _checked(method, "decoder", options, reg)
+
+    @F.arrow_udf(VERIFIED)
+    def apply(values: pa.Array) -> pa.Array:
+        r = _registry(methods)
+        return pa.array([None if v is None else verified(method, v, opts, r) for v in (x.as_py() for x in values)], _verified)
+
+    return apply(col.cast("binary"))
+
+
+def _sql_results(side: str, rows: Iterable[tuple]) -> Iterator[dict | None]:
+    """Results of (value, method, options) rows."""
+    known = {}
+    for value, method, given in rows:
+        if value is None:
+            yield None
+            continue
+        key = (method, tuple(sorted(given or [])))
+        if key not in known:
+            try:
+                known[key] = registry.DEFAULT.schema(method).parse(dict(key[1])), None
+            except CodecError as e:
+                known[key] = None, {"status": e.status, "detail": e.detail, "data": None, "bytes_in": 0, "bytes_out": 0, "rest": 0}
+        opts, bad = known[key]
+        yield bad or result(method, side, value, opts)
+
+
 def _sql_codec(side: str) -> object:
     @F.arrow_udf(RESULT)
-    def apply(values: pa.Array, methods: pa.Array, options: pa.Array) -> pa.Array:
-        out, known = [], {}
-        for value, method, given in zip(values.to_pylist(), methods.to_pylist(), options.to_pylist(), strict=True):
-            if value is None:
-                out.append(None)
-                continue
-            key = (method, tuple(sorted(given or [])))
-            if key not in known:
-                try:
-                    known[key] = registry.DEFAULT.schema(method).parse(dict(key[1])), None
-                except CodecError as e:
-                    known[key] = None, {"status": e.status, "detail": e.detail, "data": None, "bytes_in": 0, "bytes_out": 0, "rest": 0}
-            opts, bad = known[key]
-            out.append(bad or result(method, side, value, opts))
-        return pa.array(out, _result)
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield from _handed_on(_sql_results(side, zip(*[(x.as_py() for x in c) for c in columns], strict=True)))
 
     return apply
 

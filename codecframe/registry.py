@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from threading import Lock
 
@@ -71,21 +71,29 @@ def run(name: str, side: str, data: bytes, options: Options | dict | None = None
 
 def run_with_rest(name: str, side: str, data: bytes, options: Options | dict | None = None, registry: Registry | None = None, capacity: int | None = None) -> tuple[bytes, int]:
     """``run``, and how many bytes follow the end of the stream."""
-    coder = (registry or DEFAULT).create(name, side, options)
-    view, out, n = memoryview(data), [], 0
-    for at in range(0, len(view), STEP):
-        out.append(coder.update(bytes(view[at : at + STEP])))
-        n += len(out[-1])
+    coder, out, n = (registry or DEFAULT).create(name, side, options), [], 0
+    for piece in _pieces(coder, data):
+        out.append(piece)
+        n += len(piece)
         if capacity is not None and n > capacity:
-            break
-    else:
-        out.append(coder.finish())
-        n += len(out[-1])
-    if capacity is not None and n > capacity:
-        raise CodecError("LIMIT", f"output is over {capacity} bytes")
+            raise CodecError("LIMIT", f"output is over {capacity} bytes")
     return b"".join(out), len(getattr(coder, "rest", b""))
 
 
+def measure(name: str, side: str, data: bytes, options: Options | dict | None = None, registry: Registry | None = None) -> tuple[int, int]:
+    """``run_with_rest`` with the output's size in its place: each step's output is dropped."""
+    coder = (registry or DEFAULT).create(name, side, options)
+    return sum(len(piece) for piece in _pieces(coder, data)), len(getattr(coder, "rest", b""))
+
+
+def _pieces(coder: object, data: bytes) -> Iterator[bytes]:
+    """A coder's output for a whole value, fed in steps."""
+    view = memoryview(data)
+    for at in range(0, len(view), STEP):
+        yield coder.update(bytes(view[at : at + STEP]))
+    yield coder.finish()
+
+
 def pump(name: str, side: str, read: Callable, write: Callable, options: Options | dict | None = None, registry: Registry | None = None) -> int:
     """Callback form: read(n) to write(bytes) until read gives nothing; returns bytes written."""
     coder, total = (registry or DEFAULT).create(name, side, options), 0
